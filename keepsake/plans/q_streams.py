@@ -1 +1,61 @@
+"""Registered queries that run a stream over files written from the tables and read its result."""
 
+from pyspark.sql import DataFrame, functions as F
+
+from keepsake.plans.q_extract import LOG_LINE, log_lines
+from keepsake.plans.q_files import PARSED, VALID, write_spool
+from keepsake.plans.q_jobs import RUNNING
+from keepsake.plans.registry import query
+from keepsake.session import work_dir
+from keepsake.streaming import states, uploads
+
+
+@query("stream_upload", f"""select 'message' as kind, count(*) as n, cast(sum(jobid) as bigint) as id_sum from ({PARSED})
+union all select 'catalog', count(*), cast(sum(dumpjob_id) as bigint) from fx_catalog
+union all select 'rejects', (select count(*) from fx_upload where not {VALID}) + (select count(*) from region), null""")
+def _upload(m):
+    spool, out = write_spool(m), work_dir(m.spark, "loaded")
+    uploads.stream_upload(m.spark, spool, out, work_dir(m.spark, "checkpoint")).awaitTermination()
+    read = m.spark.read.parquet
+
+    def row(kind, df, total):
+        return df.agg(F.count(F.lit(1)).alias("n"), total.alias("id_sum")).select(F.lit(kind).alias("kind"), "n", "id_sum")
+
+    none = F.max(F.lit(None).cast("bigint"))
+    return row("message", read(f"{out}/message"), F.sum("jobid")).unionByName(
+        row("catalog", read(f"{out}/catalog"), F.sum("dumpjob_id"))).unionByName(row("rejects", read(f"{out}/rejects"), none))
+
+
+@query("stream_log_messages", f"""select date_trunc('second', logtime) as logtime, level, tool, message, 'CACHE_CONFIG' as jobclass, -1 as jobid, '3' as bu_worker_id
+from fx_message where regexp_matches({LOG_LINE}, 'WARNING|ERROR')""")
+def _logs(m):
+    logs, out = work_dir(m.spark, "logs"), work_dir(m.spark, "log-messages")
+    log_lines(m.message).select("line").repartition(3).write.text(logs)
+    uploads.stream_log_messages(m.spark, logs, out, work_dir(m.spark, "checkpoint"), worker=3, max_files=1).awaitTermination()
+    return m.spark.read.parquet(out)
+
+
+def in_thirds(df: DataFrame) -> list[DataFrame]:
+    """All rows in three parts by time, for three arrivals."""
+    lo, hi = df.agg(F.min("at"), F.max("at")).first()
+    cuts = [F.lit(str(lo + (hi - lo) * k / 3)).cast("timestamp_ntz") for k in (1, 2)]
+    return [df.filter(F.col("at") < cuts[0]), df.filter((F.col("at") >= cuts[0]) & (F.col("at") < cuts[1])), df.filter(F.col("at") >= cuts[1])]
+
+
+@query("stream_status_changes", """select job_id, "at", event_id, old_status, status from (
+  select *, lag(status) over (partition by job_id order by "at", event_id) as old_status from fx_status) where status <> old_status""")
+def _status(m):
+    source, out, mark = (work_dir(m.spark, n) for n in ("status", "status-out", "checkpoint"))
+    for k, part in enumerate(in_thirds(m.status)):
+        part.write.parquet(f"{source}/{k}")
+        states.stream_status_changes(m.spark, source, out, mark).awaitTermination()
+    return m.spark.read.parquet(f"{out}/changes").drop("batch_id")
+
+
+@query("stream_activity", RUNNING)
+def _activity(m):
+    source, out, mark = (work_dir(m.spark, n) for n in ("activity", "activity-out", "checkpoint"))
+    for k, part in enumerate(in_thirds(m.activity)):
+        part.write.parquet(f"{source}/{k}")
+        states.stream_activity(m.spark, source, out, mark).awaitTermination()
+    return states.latest_state(m.spark, out, states.RUNNING_SCHEMA)
