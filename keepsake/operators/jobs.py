@@ -328,11 +328,15 @@ def server_restore(latest: DataFrame, routes: DataFrame) -> DataFrame:
 def copy_link(links: DataFrame) -> DataFrame:
     """(id, restorejob_id, status): each dump job with the comma list of its restore jobs, made ACTIVE.
 
-    The list is one text value of the dump job, so its ids do come together in one row.
+    The list is one text value of the dump job. Ids are joined to text in ranges first, so
+    that what comes together at the end is one text per range and not one row per id.
     """
-    return links.groupBy(F.col("dumpjob_id").alias("id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set("restorejob_id")), lambda x: x.cast("string")), ",").alias("restorejob_id")
-    ).withColumn("status", F.lit("ACTIVE"))
+    ids = links.select(F.col("dumpjob_id").alias("id"), "restorejob_id").distinct()
+    ranges = ids.groupBy("id", F.floor(F.col("restorejob_id") / 1000).alias("range")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("restorejob_id")), lambda x: x.cast("string")), ",").alias("part")
+    )
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("range", "part"))), lambda x: x["part"])
+    return ranges.groupBy("id").agg(F.array_join(whole, ",").alias("restorejob_id")).withColumn("status", F.lit("ACTIVE"))
 
 
 END_COLUMNS = [

@@ -34,9 +34,9 @@ def _scheduled(m):
         "id", "worker_id", "pgsql_instance_id", "dbname", "cron", "scheduled")
 
 
-@query("run_now_jobs", f"select id, worker_id, dbname from ({JWI}) where cron = '* * * * *' and jobtype = 'SINGLE' and status = 'ACTIVE' and cast(id as string) like '1%'")
+@query("run_now_jobs", f"select id, worker_id, dbname from ({JWI}) where cron = '* * * * *' and jobtype = 'SINGLE' and status = 'ACTIVE'")
 def _run_now(m):
-    return j.run_now_jobs(v.dumpjob_worker_instance_view(m.dumpjob, m.worker, m.instance), id_pattern="1%").select("id", "worker_id", "dbname")
+    return j.run_now_jobs(v.dumpjob_worker_instance_view(m.dumpjob, m.worker, m.instance)).select("id", "worker_id", "dbname")
 
 
 @query("point_lookups", """

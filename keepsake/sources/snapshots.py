@@ -9,9 +9,11 @@ data is written; the source is read once.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -26,7 +28,7 @@ DUMP_TYPES = ("FULL", "SCHEMA", "CLUSTER", "CLUSTER_SCHEMA", "SCRIPT")
 BACKUP_SUFFIX = "_rs_bak"
 MANIFEST_SCHEMA = (
     "dbname string, schema_name string, table_name string, row_count bigint, content string, "
-    "schema_json string, path string"
+    "schema_json string, path string, dumptype string, dumpschema string"
 )
 
 SCRIPTS: dict[str, Callable[[SparkSession, "ScriptContext"], DataFrame]] = {}
@@ -79,7 +81,7 @@ class Restored:
     job: RestoreJob
     status: str
     message: str
-    path: str = field(default="")
+    path: str
 
 
 def script(name: str):
@@ -143,8 +145,6 @@ def read_manifest(spark: SparkSession, snapshot: str) -> DataFrame:
 
 def read_table(spark: SparkSession, snapshot: str, entry) -> DataFrame:
     """Table of a manifest row; the rows of a schema-only dump are none."""
-    import json
-
     schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
     if entry["path"] is None:
         return spark.createDataFrame([], schema)
@@ -177,13 +177,13 @@ def snapshot_write(
         rows = []
         for db, schema, table, df in wanted:
             if job.dumptype in ("SCHEMA", "CLUSTER_SCHEMA"):
-                rows.append((db, schema, table, 0, "0", df.schema.json(), None))
+                rows.append((db, schema, table, 0, "0", df.schema.json(), None, job.dumptype, job.dumpschema))
                 continue
             where = f"data/{db}/{schema}.{table}"
             count, content = _write_table(df, f"{path}/{where}")
             if not verify.schema_matches(df.schema.json(), spark.read.parquet(f"{path}/{where}")):
                 raise ValueError(f"stage 1 verify failed: schema of {schema}.{table}")
-            rows.append((db, schema, table, count, content, df.schema.json(), where))
+            rows.append((db, schema, table, count, content, df.schema.json(), where, job.dumptype, job.dumpschema))
         _manifest(spark, rows, f"{path}/manifest")
         status, message, dumpsize = "SUCCESS", job.comment, _bytes_below(spark, path)
         dbsize = -1
@@ -199,9 +199,9 @@ def snapshot_write(
     return Snapshot(path, status, spark.createDataFrame([row], schema_of("catalog")))
 
 
-def _entries(spark: SparkSession, snapshot: str):
+def _entries(spark: SparkSession, snapshot: str) -> list:
     """Manifest rows: one per table of the snapshot, so this is table metadata, not data."""
-    return read_manifest(spark, snapshot).orderBy("dbname", "schema_name", "table_name").toLocalIterator()
+    return list(read_manifest(spark, snapshot).orderBy("dbname", "schema_name", "table_name").toLocalIterator())
 
 
 def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Restored:
@@ -209,7 +209,7 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
 
     A whole-database restore is staged beside the destination and moved in place when it
     is complete. A restore of data only, of one schema, or of a one-schema dump goes
-    straight into the destination.
+    straight into the destination; a dump of all databases goes to their own names.
     """
     target = f"{job.dest_root}/{job.dest_dbname}"
     there = folders.exists(spark, target)
@@ -218,8 +218,11 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
     staged = None
     try:
         entries = [e for e in _entries(spark, snapshot) if job.restoreschema in ("*", e["schema_name"])]
-        partial = ("." in snapshot.rstrip("/").split("/")[-2].split("_", 1)[1]) and not _is_cluster(snapshot)
-        direct = job.restoretype == "DATA" or job.restoreschema != "*" or partial or _is_cluster(snapshot)
+        if not entries:
+            raise LookupError(f"nothing to restore from {snapshot}")
+        cluster = entries[0]["dumptype"].startswith("CLUSTER")
+        partial = entries[0]["dumpschema"] != "*"
+        direct = cluster or partial or job.restoretype == "DATA" or job.restoreschema != "*"
         if job.existing_db == "DROP_BEFORE" and job.restoretype != "DATA" and there:
             folders.drop(spark, target)
             there = False
@@ -233,7 +236,7 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
             mode = "errorifexists"
             if job.restoretype == "DATA":
                 mode = "overwrite" if job.existing_db == "TRUNCATE" else "append"
-            home = f"{job.dest_root}/{e['dbname']}" if _is_cluster(snapshot) else place
+            home = f"{job.dest_root}/{e['dbname']}" if cluster else place
             rows.write.mode(mode).parquet(f"{home}/{e['schema_name']}.{e['table_name']}")
         if staged:
             if there and job.existing_db == "DROP":
@@ -249,11 +252,6 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
     return Restored(job, "COMPLETED", f"restored dump of {snapshot.rstrip('/').split('/')[-1]} -> {target}", target)
 
 
-def _is_cluster(snapshot: str) -> bool:
-    parent = snapshot.rstrip("/").split("/")[-2]
-    return parent.endswith("_cluster.full") or parent.endswith("_cluster.schema")
-
-
 def snapshot_copy(spark: SparkSession, snapshot: str, jobs: list[RestoreJob]) -> list[Restored]:
     """One snapshot into several destinations, in the given order."""
     return [snapshot_restore(spark, snapshot, job) for job in jobs]
@@ -272,8 +270,6 @@ def restore_log(spark: SparkSession, results: list[Restored], snapshot: str, sta
 
 def check_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
     """(table_name, ok): every table read again in full and compared with the manifest."""
-    from functools import reduce
-
     parts = []
     for e in _entries(spark, snapshot):
         if e["path"] is None:
