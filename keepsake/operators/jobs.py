@@ -186,16 +186,21 @@ def status_changes(history: DataFrame, bucket: str = "hour") -> DataFrame:
     buckets, and each bucket's first row with the last row of the job's bucket before
     it, so no task holds more than one bucket of a job. Null on either side is no change.
     """
-    h = history.select("job_id", "at", "event_id", "status", F.date_trunc(bucket, "at").cast("timestamp_ntz").alias("bucket"))
-    ends = h.groupBy("job_id", "bucket").agg(F.max(F.struct("at", "event_id", "status")).alias("last"))
-    before = ends.select(
+    h = history.select(
+        "job_id", "at", "event_id", "status", F.date_trunc(bucket, "at").cast("timestamp_ntz").alias("bucket")
+    ).filter(F.col("job_id").isNotNull() & F.col("bucket").isNotNull())
+    order = Window.partitionBy("job_id", "bucket").orderBy("at", "event_id")
+    rows = h.withColumns({
+        "row_old": F.lag("status").over(order), "first": F.row_number().over(order) == 1,
+        "last": F.lead("event_id").over(order).isNull(),
+    })
+    # Both uses of ``rows`` read the same shuffle.
+    before = rows.filter("last").select(
         F.col("job_id").alias("b_job"), F.col("bucket").alias("b_bucket"),
-        F.lag("last.status").over(Window.partitionBy("job_id").orderBy("bucket")).alias("bucket_old"),
+        F.lag("status").over(Window.partitionBy("job_id").orderBy("bucket")).alias("bucket_old"),
     )
-    order = Window.partitionBy("job_id", "bucket").orderBy("at", "event_id")
-    inner = h.withColumn("row_old", F.lag("status").over(order)).withColumn("place", F.row_number().over(order))
-    joined = inner.join(before, (F.col("job_id") == F.col("b_job")) & (F.col("bucket") == F.col("b_bucket")))
-    old = F.when(F.col("place") == 1, F.col("bucket_old")).otherwise(F.col("row_old"))
+    joined = rows.join(before, (F.col("job_id") == F.col("b_job")) & (F.col("bucket") == F.col("b_bucket")))
+    old = F.when(F.col("first"), F.col("bucket_old")).otherwise(F.col("row_old"))
     return joined.select("job_id", "at", "event_id", old.alias("old_status"), "status").filter(
         F.col("status") != F.col("old_status")
     )

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keepsake.functions import scalars as s
+from keepsake.session import settle
 
 # Fixed value: (daily, weekly, monthly, yearly) for jobs that no longer exist.
 DELETED_JOB_POLICY = (7, 1, 0, 0)
@@ -142,8 +143,11 @@ def retention_remove(
     """All dumps that the next clean removes, with their full path.
 
     Failed, half-removed and unkept dumps go too, and so do dumps dated after today.
+    The ids to keep are written down first (one number per slice and pinned dump). As
+    their size is known then, a small keep set is matched without shuffling the catalog.
     """
-    gone = remove_set(catalog, keep_set(catalog, dumpjob, restorejob, now, deleted))
+    keep = settle(keep_set(catalog, dumpjob, restorejob, now, deleted), "keep-ids")
+    gone = remove_set(catalog, keep)
     return gone.select("id", "dumpjob_id", "starttime", "bu_name", s.full_path("bu_location", "bu_name").alias("full_path"))
 
 

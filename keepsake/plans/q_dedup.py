@@ -15,30 +15,30 @@ CLASSIFY = """select f.file_id, f.dump_id, f.path, f.checksum, f.size,
 @query("first_occurrence", """select file_id, dump_id, path, checksum, size,
   row_number() over (partition by checksum order by file_id) = 1 as is_first from fx_file""")
 def _first(m):
-    return dedup.first_occurrence(m.file)
+    return dedup.first_occurrence(m.written("file"))
 
 
 @query("dedup_classify", CLASSIFY)
 def _classify(m):
-    return dedup.dedup_classify(m.file, m.store)
+    return dedup.dedup_classify(m.written("file"), m.store)
 
 
 @query("dedup_store_update", """select checksum, size from fx_store union all
 select checksum, min(size) as size from fx_file where checksum not in (select checksum from fx_store) group by checksum""")
 def _store_update(m):
-    return dedup.store_update(m.file, m.store)
+    return dedup.store_update(m.written("file"), m.store)
 
 
 @query("dedup_once", """select file_id, dump_id, path, checksum, size from fx_file
 where dump_id in (select id from fx_catalog where dumptype = 'FULL') and dump_id not in (select r_regionkey from region)""")
 def _once(m):
-    return dedup.dedup_once(m.file, m.catalog, m.region.select(F.col("r_regionkey").alias("dump_id")))
+    return dedup.dedup_once(m.written("file"), m.catalog, m.region.select(F.col("r_regionkey").alias("dump_id")))
 
 
 @query("dedup_read", """select f.file_id, f.dump_id, f.path, f.checksum, f.size, s.size as blob_size
 from fx_file f join fx_store s on s.checksum = f.checksum""")
 def _read(m):
-    return dedup.dedup_read(m.file, m.store)
+    return dedup.dedup_read(m.written("file"), m.store)
 
 
 @query("dedup_summary", f"""with c as ({CLASSIFY}), s as (
@@ -52,20 +52,20 @@ def _summary(m):
 @query("link_counts", """select s.checksum, s.size, count(f.file_id) as links from fx_store s left join fx_file f on f.checksum = s.checksum
 group by s.checksum, s.size""")
 def _links(m):
-    return dedup.link_counts(m.file, m.store)
+    return dedup.link_counts(m.written("file"), m.store)
 
 
 @query("orphan_blobs", """select checksum, size from fx_store where checksum not in (select checksum from fx_file)
   and exists (select 1 from fx_store s join fx_file f on f.checksum = s.checksum)""")
 def _orphans(m):
-    return dedup.orphan_blobs(m.file, m.store)
+    return dedup.orphan_blobs(m.written("file"), m.store)
 
 
 @query("orphan_after_remove", """with gone as (select id from fx_catalog where status <> 'SUCCESS')
 select checksum, count(*) as removed_links from fx_file group by checksum
 having count(*) = count(*) filter (dump_id in (select id from gone))""")
 def _after_remove(m):
-    return dedup.orphan_after_remove(m.file, m.catalog.filter("status <> 'SUCCESS'").select(F.col("id").alias("dump_id")))
+    return dedup.orphan_after_remove(m.written("file"), m.catalog.filter("status <> 'SUCCESS'").select(F.col("id").alias("dump_id")))
 
 
 @query("size_total", "select cast(coalesce(sum(total_bytes), -1) as bigint) as total_bytes from fx_relation where relkind = 'r'")

@@ -121,7 +121,7 @@ select 'INFO' as level, 'clean' as tool, timestamp '{NOW}' as logtime,
   'removed ' || (select count(*) from free) || ' dumps and ' || (select count(*) from blobs where checksum in (select checksum from fx_store)) || ' files from dedup store' as message,
   'CLEAN' as jobclass, -1 as jobid, '1' as bu_worker_id""")
 def _summary(m):
-    return clean.plan_clean(m.catalog, m.dumpjob, m.restorejob, m.restorelog, m.file, m.store, NOW, ROOT).summary(worker=1)
+    return clean.plan_clean(m.catalog, m.dumpjob, m.restorejob, m.restorelog, m.written("file"), m.store, NOW, ROOT).summary(worker=1)
 
 
 @query("verify_candidates", "select id, dumptype, verified from fx_catalog where dumptype not like 'CLUSTER%' and status = 'SUCCESS' and verified not like 'YES'")
@@ -149,8 +149,9 @@ def altered(files):
 select a.dump_id, a.row_count = b.row_count and a.content = b.content as ok from a join b on a.dump_id = b.dump_id""")
 def _verify(m):
     cols = ["file_id", "checksum", "size"]
-    manifest = vf.fingerprint(m.file, "dump_id", cols, portable=True)
-    return vf.verify_snapshot(manifest, vf.fingerprint(altered(m.file), "dump_id", cols, portable=True), "dump_id")
+    files = m.written("file")
+    manifest = vf.fingerprint(files, "dump_id", cols, portable=True)
+    return vf.verify_snapshot(manifest, vf.fingerprint(altered(files), "dump_id", cols, portable=True), "dump_id")
 
 
 @query("verify_apply", f"""with a as ({MANIFEST.format('fx_file')}), b as ({MANIFEST.format(ALTERED)}),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Times are zone-free end to end, and
 # skewed joins are split even when that costs an extra shuffle downstream.
@@ -53,3 +53,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="keepsake-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several steps need, once, and go on from the written table.
+
+    Its lineage is cut, a lost executor costs only a read, and its file size tells the
+    planner whether it may be broadcast or has to be joined by a shuffle.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

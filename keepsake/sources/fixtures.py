@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepsake.session import settle
+
 FIXTURES: dict[str, str] = {
     "fx_worker": """
 select cast(r_regionkey as int) as id, lower(r_name) as dns_name,
@@ -205,6 +207,10 @@ class Model:
         used = {t: driver_table(self.spark, self.folder, t) for t in DRIVER_SCHEMAS if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
+    def written(self, name: str) -> DataFrame:
+        """The table written down once, where its making is dear (checksums of whole texts)."""
+        return settle(getattr(self, name), name)
+
 
 def duckdb_text(name: str) -> str:
     """The same fixture query on the plain driver table names."""
