@@ -106,4 +106,6 @@ def verify_messages(catalog: DataFrame, results: DataFrame, now, worker) -> Data
 def schema_matches(schema_json: str, df: DataFrame) -> bool:
     """Stage-one check right after a dump: the stored schema reads and is the table's."""
     stored = T.StructType.fromJson(json.loads(schema_json))
-    return [(f.name, f.dataType) for f in stored.fields] == [(f.name, f.dataType) for f in df.schema.fields]
+    return [(f.name, f.dataType.simpleString()) for f in stored.fields] == [
+        (f.name, f.dataType.simpleString()) for f in df.schema.fields
+    ]

@@ -99,6 +99,10 @@ def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])
 
 
+def column_names(name: str) -> list[str]:
+    return [column.split()[0] for column in TABLES[name].split(", ")]
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Bring rows to the table's columns: cast what is there, default what is not.
 
