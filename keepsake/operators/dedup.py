@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from keepsake.functions import scalars as s
+from keepsake.session import settle
 
 
 def first_files(files: DataFrame) -> DataFrame:
@@ -98,8 +99,11 @@ def link_counts(files: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def orphan_blobs(files: DataFrame, store: DataFrame) -> DataFrame:
-    """Blobs without a link. If no blob at all has one, nothing: somebody lost the links."""
-    counted = link_counts(files, store)
+    """Blobs without a link. If no blob at all has one, nothing: somebody lost the links.
+
+    The counts serve the answer and the safety check, so they are written down once.
+    """
+    counted = settle(link_counts(files, store), "link-counts")
     any_link = counted.filter(F.col("links") > 0).select("checksum").limit(1)
     return counted.filter(F.col("links") == 0).select("checksum", "size").where(any_link.exists())
 

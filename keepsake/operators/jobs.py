@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepsake.functions import scalars as s
-from keepsake.operators import views
 
 # Schedule that means "as soon as possible", comment of found databases,
 # comment of generated restore jobs, limit of restores at a time.
@@ -260,9 +259,8 @@ def restore_eligibility(
     restorejob: DataFrame, instance: DataFrame, catalog: DataFrame, databases: DataFrame, start_type: Column
 ) -> DataFrame:
     """(id, decision, reason): may the restore run? ``databases(pgsql_instance_id, datname)`` exist already."""
-    jobs = views.restorejob_instance(restorejob, instance).join(
-        restorejob.select(F.col("id").alias("r_id"), "dest_pgsql_instance_id"), F.col("r_id") == F.col("id")
-    )
+    p = instance.select(F.col("id").alias("p_id"), F.col("status").alias("p_status"))
+    jobs = restorejob.join(p, F.col("p_id") == F.col("dest_pgsql_instance_id"))
     c = catalog.select(F.col("id").alias("c_id"), F.col("status").alias("c_status"))
     d = databases.select(F.col("pgsql_instance_id").alias("d_instance"), F.col("datname").alias("d_db")).distinct()
     rows = jobs.join(c, F.col("c_id") == F.col("catalog_id"), "left").join(
@@ -271,8 +269,8 @@ def restore_eligibility(
     steps = [
         (~F.col("start").isin(*START_TYPES), "ERROR", "wrong start type"),
         ((F.col("existing_db") == "LEAVE") & F.col("d_db").isNotNull(), "ABORTED", "database is already present"),
-        (F.col("status_pgsqlinstance") == "HALTED", "ERROR", "instance is inactive"),
-        ((F.col("start") == "CRON") & (F.col("status_restorejob") != "ACTIVE"), "ERROR", "job is on halt"),
+        (F.col("p_status") == "HALTED", "ERROR", "instance is inactive"),
+        ((F.col("start") == "CRON") & (F.col("status") != "ACTIVE"), "ERROR", "job is on halt"),
         (F.coalesce(F.col("c_status") != "SUCCESS", F.lit(True)), "ERROR", "dump does not exist or failed"),
     ]
     decision, reason = F.lit("RUN"), F.lit("")

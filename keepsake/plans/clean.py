@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from keepsake.functions import scalars as s
 from keepsake.operators import dedup, retention
+from keepsake.session import settle
 
 
 @dataclass
 class CleanPlan:
-    """Lazy results of a clean; nothing has been removed yet."""
+    """What a clean would do; nothing has been removed yet."""
 
     removable: DataFrame
     held_back: DataFrame
@@ -42,9 +43,10 @@ def plan_clean(
     store: DataFrame, now, root: str, deleted=retention.DELETED_JOB_POLICY,
 ) -> CleanPlan:
     checked = retention.remove_safe(retention.retention_remove(catalog, dumpjob, restorejob, now, deleted), root)
-    removable = retention.remove_not_restoring(checked, restorelog)
+    # Both lists serve several results below.
+    removable = settle(retention.remove_not_restoring(checked, restorelog), "removable")
     gone = removable.select(F.col("id").alias("dump_id"))
-    lost = dedup.orphan_after_remove(files, gone).select(F.col("checksum").alias("lost"))
+    lost = settle(dedup.orphan_after_remove(files, gone).select(F.col("checksum").alias("lost")), "lost-blobs")
     blobs = store.join(lost, F.col("checksum") == F.col("lost"), "left_semi")
     return CleanPlan(
         removable=removable,

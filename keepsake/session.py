@@ -38,6 +38,9 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
+_written: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name for written intermediate tables.
 
@@ -52,7 +55,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="keepsake-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove the intermediate tables this process has written, when no result needs them any more."""
+    from keepsake.sources import folders
+
+    while _written:
+        folders.drop(spark, _written.pop())
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:

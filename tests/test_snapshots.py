@@ -124,8 +124,9 @@ def test_file_inventory(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "1.dat.gz").write_bytes(b"hello")
     (tmp_path / "d" / "toc.dat").write_bytes(b"skip")
-    rows = tf.file_inventory(spark, str(tmp_path)).collect()
-    assert [(r["checksum"], r["size"]) for r in rows] == [("5d41402abc4b2a76b9719d911017c592", 5)]
+    for limit in (tf.ROW_BYTES, 2):  # as one row, and piece by piece
+        rows = tf.file_inventory(spark, str(tmp_path), row_bytes=limit).collect()
+        assert [(r["checksum"], r["size"]) for r in rows] == [("5d41402abc4b2a76b9719d911017c592", 5)]
 
 
 GOOD = "20240101T000000+0100\tINFO\ttool\ttext\tDUMP\t-1\t4"
