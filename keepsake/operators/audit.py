@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keepsake.session import settle
+
 # Line patterns of the upload formats.
 MESSAGE_PATTERN = (
     r"^\d{8}T\d{6}[+-]\d+\t((INFO|WARNING|ERROR|CRITICAL|DEBUG))\t.+\t.*\t"
@@ -114,26 +116,33 @@ def check_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(t, df) for t, df in tables.items()])
 
 
-def orphans_of(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
-    """Rows of ``child`` whose non-null ``column`` has no parent.
-
-    The distinct key values are pre-aggregated and tested first; the child is then
-    matched against the missing values only, which are few, so a key value that
-    fills a third of the child never moves as a group.
-    """
-    keys = child.select(F.col(column).alias("fk_key")).filter(F.col("fk_key").isNotNull()).distinct()
-    missing = keys.join(parent.select(F.col(parent_key).alias("fk_parent")), F.col("fk_key") == F.col("fk_parent"), "left_anti")
-    return child.join(missing, F.col(column) == F.col("fk_key"), "left_semi")
+def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
+    """(fk_key): non-null key values that have no parent; distinct values only are moved."""
+    keys = child.select(F.col(column).cast("bigint").alias("fk_key")).filter(F.col("fk_key").isNotNull()).distinct()
+    parents = parent.select(F.col("id").cast("bigint").alias("fk_parent"))
+    return keys.join(parents, F.col("fk_key") == F.col("fk_parent"), "left_anti")
 
 
 def fk_audit(tables: dict[str, DataFrame], keys=FOREIGN_KEYS) -> DataFrame:
-    """(table_name, key_column, id, value) of every dangling reference."""
+    """(table_name, key_column, id, value) of every dangling reference.
+
+    The missing values of all keys are found and written down first. The child rows are
+    then matched against them only, and as there are few as a rule, without a shuffle;
+    a key value that fills a third of a child never moves as a group.
+    """
+    missing = settle(
+        reduce(DataFrame.unionByName, [
+            missing_parents(tables[t], c, tables[p]).select(F.lit(f"{t}.{c}").alias("key_name"), "fk_key") for t, c, p in keys
+        ]),
+        "missing-parents",
+    )
     parts = [
-        orphans_of(tables[t], c, tables[p]).select(
+        tables[t].join(missing.filter(F.col("key_name") == f"{t}.{c}"), F.col(c).cast("bigint") == F.col("fk_key"), "left_semi")
+        .select(
             F.lit(t).alias("table_name"), F.lit(c).alias("key_column"),
             F.col("id").cast("bigint").alias("id"), F.col(c).cast("bigint").alias("value"),
         )
-        for t, c, p in keys
+        for t, c, _ in keys
     ]
     return reduce(DataFrame.unionByName, parts)
 

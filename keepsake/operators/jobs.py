@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepsake.functions import scalars as s
+from keepsake.session import settle
 
 # Schedule that means "as soon as possible", comment of found databases,
 # comment of generated restore jobs, limit of restores at a time.
@@ -15,6 +16,8 @@ AUTO_COMMENT = "auto added dump job"
 SERVER_RESTORE_COMMENT = "generated server restore job"
 MAX_PARALLEL_RESTORE = 2
 START_TYPES = ("CRON", "SINGLE", "TRIGGER")
+# Rows of one job that a single task may have to sort.
+TASK_ROWS = 1_000_000
 
 
 def dumpjob_defaults(new_jobs: DataFrame, instance: DataFrame, seed: Column) -> DataFrame:
@@ -178,31 +181,33 @@ def latest_dump_join(latest: DataFrame, catalog: DataFrame) -> DataFrame:
     return catalog.join(ids, F.col("id") == F.col("cat_id")).drop("cat_id")
 
 
-def status_changes(history: DataFrame, bucket: str = "hour") -> DataFrame:
+def status_changes(history: DataFrame, bucket: str = "hour", task_rows: int = TASK_ROWS) -> DataFrame:
     """(job_id, at, event_id, old_status, status) wherever a job's status differs from the one before.
 
-    ``history(job_id, at, event_id, status)``. A job's history is compared inside time
-    buckets, and each bucket's first row with the last row of the job's bucket before
-    it, so no task holds more than one bucket of a job. Null on either side is no change.
+    ``history(job_id, at, event_id, status)``. Null on either side is no change.
+
+    A job with more than ``task_rows`` rows is compared bucket by bucket of time, so that
+    it spreads over tasks; then the first row of each bucket is compared with the last
+    row of the job's bucket before. All other jobs need no second step. The list of such
+    jobs is written down first, so that a short one is matched without a shuffle.
     """
-    h = history.select(
-        "job_id", "at", "event_id", "status", F.date_trunc(bucket, "at").cast("timestamp_ntz").alias("bucket")
-    ).filter(F.col("job_id").isNotNull() & F.col("bucket").isNotNull())
-    order = Window.partitionBy("job_id", "bucket").orderBy("at", "event_id")
-    rows = h.withColumns({
-        "row_old": F.lag("status").over(order), "first": F.row_number().over(order) == 1,
-        "last": F.lead("event_id").over(order).isNull(),
-    })
-    # Both uses of ``rows`` read the same shuffle.
-    before = rows.filter("last").select(
-        F.col("job_id").alias("b_job"), F.col("bucket").alias("b_bucket"),
-        F.lag("status").over(Window.partitionBy("job_id").orderBy("bucket")).alias("bucket_old"),
+    known = history.select("job_id", "at", "event_id", "status").filter(F.col("job_id").isNotNull())
+    sizes = known.groupBy(F.col("job_id").alias("hot_job")).agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(sizes.filter(F.col("n") > task_rows).select("hot_job"), "hot-jobs")
+    part = F.date_trunc(bucket, "at").cast("timestamp_ntz")
+    rows = known.join(hot, F.col("job_id") == F.col("hot_job"), "left").withColumn(
+        "bucket", F.when(F.col("hot_job").isNotNull(), part)
     )
-    joined = rows.join(before, (F.col("job_id") == F.col("b_job")) & (F.col("bucket") == F.col("b_bucket")))
-    old = F.when(F.col("first"), F.col("bucket_old")).otherwise(F.col("row_old"))
-    return joined.select("job_id", "at", "event_id", old.alias("old_status"), "status").filter(
-        F.col("status") != F.col("old_status")
+    order = Window.partitionBy("job_id", "bucket").orderBy("at", "event_id")
+    inside = rows.withColumn("old_status", F.lag("status").over(order)).filter(F.col("status") != F.col("old_status"))
+
+    ends = known.join(hot, F.col("job_id") == F.col("hot_job"), "left_semi").groupBy("job_id", part.alias("bucket")).agg(
+        F.min(F.struct("at", "event_id", "status")).alias("first"), F.max(F.struct("at", "event_id", "status")).alias("last")
     )
+    by_job = Window.partitionBy("job_id").orderBy("bucket")
+    between = ends.withColumn("old_status", F.lag("last.status").over(by_job)).filter(F.col("first.status") != F.col("old_status"))
+    columns = ["job_id", "at", "event_id", "old_status", "status"]
+    return inside.select(*columns).unionByName(between.select("job_id", "first.*", "old_status").select(*columns))
 
 
 def status_messages(changes: DataFrame, dumpjob: DataFrame, instance: DataFrame) -> DataFrame:

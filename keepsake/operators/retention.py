@@ -1,10 +1,13 @@
 """Retention: which dumps stay and which go.
 
-One plan covers all jobs. The catalog is first reduced to the oldest and newest
-eligible dump per (job, day); as every slice starts and ends at midnight this loses
-nothing, and what meets the slices no longer grows with the number of dumps per day.
-A job that holds a third of the catalog is spread over its days and combined before
-the shuffle.
+One plan covers all jobs. Slices depend on the keep values only, and few jobs differ in
+them: the slices of each policy are laid out as a calendar of days, and a dump finds its
+slice by its day with plain equality. The dumps are neither multiplied nor compared
+with ranges, and they are combined to one candidate per (job, slice) before any shuffle.
+Job policies and calendar are written down first, so their size is known when the join
+is planned: where it allows a broadcast the catalog is not shuffled at all, and beyond
+that the skewed side of the join by job is split at run time, while the join by day
+spreads over the days. A job that holds a third of the catalog is no hot group.
 """
 
 from __future__ import annotations
@@ -83,39 +86,35 @@ def eligible(catalog: DataFrame) -> DataFrame:
     return catalog.filter((F.col("status") == "SUCCESS") & (F.col("keep") == "AUTO"))
 
 
-def daily_extremes(catalog: DataFrame, now) -> DataFrame:
-    """Oldest and newest eligible dump per (job, day); on equal times the lower id is meant."""
-    end0 = F.date_add(s.moment(now).cast("date"), 1).cast("timestamp_ntz")
-    rows = eligible(catalog).filter(F.col("dumpjob_id").isNotNull() & (F.col("starttime") < end0)).select(
-        "dumpjob_id", F.col("starttime").cast("date").alias("day"), "starttime", "id"
-    )
-    return rows.groupBy("dumpjob_id", "day").agg(
-        F.min(F.struct("starttime", "id")).alias("oldest"),
-        F.max(F.struct("starttime", (-F.col("id")).alias("neg_id"))).alias("newest"),
-    )
+def policy_calendar(policies: DataFrame, now) -> DataFrame:
+    """One row per day of every distinct policy with the slice the day belongs to."""
+    slices = policies.select(*KEEP_COLUMNS).distinct().select(*KEEP_COLUMNS, F.inline(slice_array(now)))
+    days = F.sequence("slice_start", F.date_sub("slice_end", 1))
+    return slices.select("*", F.explode(days).alias("day"))
 
 
 def slice_pick(catalog: DataFrame, policies: DataFrame, now) -> DataFrame:
-    """The dump each slice keeps: the newest of a day slice, the oldest of a longer slice."""
-    slices = retention_slices(policies, now)
-    days = daily_extremes(catalog, now).withColumnRenamed("dumpjob_id", "d_job")
-    hit = days.join(
-        slices,
-        (F.col("d_job") == F.col("dumpjob_id"))
-        & (F.col("slice_start") <= F.col("day")) & (F.col("day") < F.col("slice_end")),
+    """The dump each slice keeps: the newest of a day slice, the oldest of a longer slice.
+
+    On equal times it is the lower id.
+    """
+    end0 = F.date_add(s.moment(now).cast("date"), 1).cast("timestamp_ntz")
+    dumps = eligible(catalog).filter(F.col("dumpjob_id").isNotNull() & (F.col("starttime") < end0)).select(
+        "dumpjob_id", "starttime", "id", F.col("starttime").cast("date").alias("day")
     )
+    micros = F.unix_micros(F.col("starttime").cast("timestamp_ltz"))
+    rank = F.when(F.col("kind") == "D", -micros).otherwise(micros)
     return (
-        hit.groupBy("dumpjob_id", "kind", "slice_no", "slice_start", "slice_end")
-        .agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
-        .select(
-            "dumpjob_id", "kind", "slice_no", "slice_start", "slice_end",
-            F.when(F.col("kind") == "D", -F.col("newest.neg_id")).otherwise(F.col("oldest.id")).alias("id"),
-        )
+        dumps.join(policies, "dumpjob_id")
+        .join(settle(policy_calendar(policies, now), "calendar"), [*KEEP_COLUMNS, "day"])
+        .groupBy("dumpjob_id", "slice_no", "kind", "slice_start", "slice_end")
+        .agg(F.min(F.struct(rank.alias("rank"), "id")).alias("best"))
+        .select("dumpjob_id", "kind", "slice_no", "slice_start", "slice_end", F.col("best.id").alias("id"))
     )
 
 
 def retention_keep(catalog: DataFrame, dumpjob: DataFrame, now, deleted=DELETED_JOB_POLICY) -> DataFrame:
-    return slice_pick(catalog, job_retention_info(catalog, dumpjob, deleted), now)
+    return slice_pick(catalog, settle(job_retention_info(catalog, dumpjob, deleted), "policies"), now)
 
 
 def retention_pinned(catalog: DataFrame, restorejob: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def test_status_changes_with_a_hot_job(spark):
         if old is not None and status is not None and old != status:
             want.add((job, event, old, status))
         last[job] = status
-    for bucket in ("hour", "day"):
-        got = jobs.status_changes(df, bucket).collect()
+    for bucket, limit in (("hour", 1000), ("day", 10), ("hour", 0), ("hour", 10**6)):
+        got = jobs.status_changes(df, bucket, limit).collect()
         assert {(r["job_id"], r["event_id"], r["old_status"], r["status"]) for r in got} == want and len(got) == len(want)
     half = sorted(rows, key=lambda r: (r[1], r[2]))
     parts = [spark.createDataFrame(p, df.schema) for p in (half[:1000], half[1000:1800], half[1800:])]
