@@ -1,4 +1,4 @@
-"""The reference's kinds of self-check lines, and the text operators on them."""
+"""Self-check lines for the text operators."""
 
 from pyspark.sql import functions as F
 
