@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keepsake.session import settle
 
-# Line patterns of the upload formats.
+# Line patterns of the upload formats. Only a line feed ends a line (?d).
+# A catalog line may hold any text in nine of its fields. Where "anything, then a tab"
+# repeats, all but one are written as "no tab, then a tab": that accepts the same lines
+# and leaves the matcher few ways to try.
 MESSAGE_PATTERN = (
-    r"^\d{8}T\d{6}[+-]\d+\t((INFO|WARNING|ERROR|CRITICAL|DEBUG))\t.+\t.*\t"
+    r"(?d)^\d{8}T\d{6}[+-]\d+\t((INFO|WARNING|ERROR|CRITICAL|DEBUG))\t.+\t.*\t"
     r"((CACHE_CONFIG|DUMP|RESTORE|VERIFY|DEDUP|CLEAN))\t-?\d+\t\d+$"
 )
 CATALOG_PATTERN = (
-    r"^\d+\t\d{8}T\d{6}[+-]\d+\t\d{8}T\d{6}[+-]\d+\t[A-Z]+\t[a-zA-Z0-9_\.\/-]+\t[a-zA-Z0-9_\.\/-]+\t"
-    r"-?\d+\t-?\d+\t.*\t.*\t.*\t.*\t.*\t\d+\t.*\t.*\t\d+$"
+    r"(?d)^\d+\t\d{8}T\d{6}[+-]\d+\t\d{8}T\d{6}[+-]\d+\t[A-Z]+\t[a-zA-Z0-9_\.\/-]+\t[a-zA-Z0-9_\.\/-]+\t"
+    r"-?\d+\t-?\d+\t(?:[^\t\n]*+\t){4}.*\t\d+\t[^\t\n]*+\t.*\t\d+$"
 )
 
 # Patterns of the table checks.
