@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from keepsake.functions import scalars as s
@@ -113,37 +116,52 @@ def read_spool(spark: SparkSession, spool: str) -> DataFrame:
     return route(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
 
 
-def parse_upload(lines: DataFrame, target: str, column: str = "line") -> DataFrame:
-    """Tab fields as typed columns. A field that does not fit its type is null."""
+def _record(target: str, column: str) -> Column:
+    """The tab fields as a typed struct. A field that does not fit its type is null."""
     types = {f.name: f.dataType for f in schema_of(target).fields}
     fields = F.split(F.col(column), "\t")
 
     def one(i: int, name: str) -> Column:
-        raw = F.get(fields, i)
-        kind = types[name]
+        raw, kind = F.get(fields, i), types[name]
         if isinstance(kind, T.TimestampNTZType):
-            return s.parse_stamp(raw).alias(name)
-        return raw.alias(name) if isinstance(kind, T.StringType) else raw.try_cast(kind).alias(name)
+            raw = s.parse_stamp(raw)
+        elif not isinstance(kind, T.StringType):
+            raw = raw.try_cast(kind)
+        return raw.alias(name)
 
-    return lines.select(column, *[one(i, n) for i, n in enumerate(TARGETS[target])])
+    return F.struct(*[one(i, n) for i, n in enumerate(TARGETS[target])])
 
 
-def fits(target: str) -> Column:
-    """On parsed rows: every typed field got a value."""
+def _fits(target: str) -> Column:
+    """Every typed field of the struct column ``target`` got a value."""
     types = {f.name: f.dataType for f in schema_of(target).fields}
-    good = F.lit(True)
-    for name in TARGETS[target]:
-        if not isinstance(types[name], T.StringType):
-            good = good & F.col(name).isNotNull()
-    return good
+    typed = [n for n in TARGETS[target] if not isinstance(types[n], T.StringType)]
+    return reduce(and_, [F.col(f"{target}.{n}").isNotNull() for n in typed])
+
+
+def classify(routed: DataFrame, column: str = "line") -> DataFrame:
+    """Judge routed lines in one pass: ``reason`` is null, or why the line is rejected.
+
+    The parsed fields are in one struct column per target, null for the other lines.
+    """
+    rule = {"message": audit.valid_message, "catalog": audit.valid_catalog}
+    of = {t: F.col("target") == t for t in TARGETS}
+    rows = routed.withColumns({t: F.when(of[t] & rule[t](column), _record(t, column)) for t in TARGETS})
+    reason = F.when(~F.col("target").isin(*TARGETS), F.lit("target"))
+    for t in TARGETS:
+        reason = reason.when(of[t] & F.col(t).isNull(), F.lit("format")).when(of[t] & ~_fits(t), F.lit("value"))
+    return rows.withColumn("reason", reason)
+
+
+def accepted(classified: DataFrame, target: str) -> DataFrame:
+    return classified.filter((F.col("target") == target) & F.col("reason").isNull()).select(f"{target}.*")
+
+
+def rejected(classified: DataFrame, column: str = "line") -> DataFrame:
+    return classified.filter(F.col("reason").isNotNull()).select(column, "reason")
 
 
 def load_upload(lines: DataFrame, target: str, column: str = "line") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): lines of the right form with the right types, and the lines that are not."""
-    ok, bad = audit.accepted_rejected(lines.select(column), target, column)
-    parsed = parse_upload(ok, target, column)
-    rows = parsed.filter(fits(target)).select(*TARGETS[target])
-    rejects = bad.select(column, F.lit("format").alias("reason")).unionByName(
-        parsed.filter(~fits(target)).select(column, F.lit("value").alias("reason"))
-    )
-    return rows, rejects
+    judged = classify(lines.select(column, F.lit(target).alias("target")), column)
+    return accepted(judged, target), rejected(judged, column)

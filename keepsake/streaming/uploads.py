@@ -27,16 +27,13 @@ def stream_upload(
     """Spool to ``out/message``, ``out/catalog`` and ``out/rejects``; runs until the spool is read."""
 
     def load(batch: DataFrame, number: int) -> None:
-        routed = textfiles.route(batch).persist()
+        judged = textfiles.classify(textfiles.route(batch)).persist()
         try:
-            rejects = routed.filter("target = 'unknown'").select("line", F.lit("target").alias("reason"))
             for target in textfiles.TARGETS:
-                rows, bad = textfiles.load_upload(routed.filter(F.col("target") == target), target)
-                rows.write.mode("overwrite").parquet(f"{out}/{target}/batch_id={number}")
-                rejects = rejects.unionByName(bad)
-            rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={number}")
+                textfiles.accepted(judged, target).write.mode("overwrite").parquet(f"{out}/{target}/batch_id={number}")
+            textfiles.rejected(judged).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={number}")
         finally:
-            routed.unpersist()
+            judged.unpersist()
 
     return (
         _spool_stream(spark, spool, max_files).writeStream.foreachBatch(load)
