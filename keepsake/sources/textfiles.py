@@ -116,8 +116,18 @@ def read_spool(spark: SparkSession, spool: str) -> DataFrame:
     return route(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
 
 
-def _record(target: str, column: str) -> Column:
-    """The tab fields as a typed struct. A field that does not fit its type is null."""
+def judge(routed: DataFrame, column: str = "line") -> DataFrame:
+    """Adds ``valid``: whether the line has the form of its target; null for no known target."""
+    return routed.withColumn(
+        "valid",
+        F.when(F.col("target") == "message", audit.valid_message(column)).when(
+            F.col("target") == "catalog", audit.valid_catalog(column)
+        ),
+    )
+
+
+def _parsed(judged: DataFrame, target: str, column: str) -> DataFrame:
+    """Well-formed lines of a target as typed columns. A field that does not fit its type is null."""
     types = {f.name: f.dataType for f in schema_of(target).fields}
     fields = F.split(F.col(column), "\t")
 
@@ -129,39 +139,35 @@ def _record(target: str, column: str) -> Column:
             raw = raw.try_cast(kind)
         return raw.alias(name)
 
-    return F.struct(*[one(i, n) for i, n in enumerate(TARGETS[target])])
+    lines = judged.filter((F.col("target") == target) & F.col("valid"))
+    return lines.select(F.col(column).alias("source_line"), *[one(i, n) for i, n in enumerate(TARGETS[target])])
 
 
 def _fits(target: str) -> Column:
-    """Every typed field of the struct column ``target`` got a value."""
+    """Every typed field got a value."""
     types = {f.name: f.dataType for f in schema_of(target).fields}
     typed = [n for n in TARGETS[target] if not isinstance(types[n], T.StringType)]
-    return reduce(and_, [F.col(f"{target}.{n}").isNotNull() for n in typed])
-
-
-def classify(routed: DataFrame, column: str = "line") -> DataFrame:
-    """Judge routed lines in one pass: ``reason`` is null, or why the line is rejected.
-
-    The parsed fields are in one struct column per target, null for the other lines.
-    """
-    rule = {"message": audit.valid_message, "catalog": audit.valid_catalog}
-    of = {t: F.col("target") == t for t in TARGETS}
-    rows = routed.withColumns({t: F.when(of[t] & rule[t](column), _record(t, column)) for t in TARGETS})
-    reason = F.when(~F.col("target").isin(*TARGETS), F.lit("target"))
-    for t in TARGETS:
-        reason = reason.when(of[t] & F.col(t).isNull(), F.lit("format")).when(of[t] & ~_fits(t), F.lit("value"))
-    return rows.withColumn("reason", reason)
+    return reduce(and_, [F.col(n).isNotNull() for n in typed])
 
 
-def accepted(classified: DataFrame, target: str) -> DataFrame:
-    return classified.filter((F.col("target") == target) & F.col("reason").isNull()).select(f"{target}.*")
+def accepted(judged: DataFrame, target: str, column: str = "line") -> DataFrame:
+    """Rows of the lines that have the right form and the right types."""
+    return _parsed(judged, target, column).filter(_fits(target)).select(*TARGETS[target])
 
 
-def rejected(classified: DataFrame, column: str = "line") -> DataFrame:
-    return classified.filter(F.col("reason").isNotNull()).select(column, "reason")
+def rejected(judged: DataFrame, column: str = "line") -> DataFrame:
+    """(line, reason) of all other lines: unknown target, wrong form, or a value that does not fit."""
+    line = F.col(column).alias("line")
+    parts = [judged.filter(~F.coalesce("valid", F.lit(False))).select(
+        line, F.when(F.col("target").isin(*TARGETS), F.lit("format")).otherwise(F.lit("target")).alias("reason")
+    )]
+    for target in TARGETS:
+        misfits = _parsed(judged, target, column).filter(~_fits(target))
+        parts.append(misfits.select(F.col("source_line").alias("line"), F.lit("value").alias("reason")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_upload(lines: DataFrame, target: str, column: str = "line") -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): lines of the right form with the right types, and the lines that are not."""
-    judged = classify(lines.select(column, F.lit(target).alias("target")), column)
-    return accepted(judged, target), rejected(judged, column)
+    """(rows, rejects) of lines for one target."""
+    judged = judge(lines.select(column, F.lit(target).alias("target")), column)
+    return accepted(judged, target, column), rejected(judged, column)

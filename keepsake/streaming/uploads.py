@@ -27,7 +27,7 @@ def stream_upload(
     """Spool to ``out/message``, ``out/catalog`` and ``out/rejects``; runs until the spool is read."""
 
     def load(batch: DataFrame, number: int) -> None:
-        judged = textfiles.classify(textfiles.route(batch)).persist()
+        judged = textfiles.judge(textfiles.route(batch)).persist()
         try:
             for target in textfiles.TARGETS:
                 textfiles.accepted(judged, target).write.mode("overwrite").parquet(f"{out}/{target}/batch_id={number}")
