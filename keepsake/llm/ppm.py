@@ -36,11 +36,13 @@ from keepsake.session import settle
 
 END = 0xFF
 ORDER = 6
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+# Log probabilities travel as whole steps of 1/4096, rounded, down to 16.
+STEPS = 4096.0
 ALPHA = 0.1
 END_WORD = np.uint64(0)
 WORDS, GRAMS = 0, 1
-UNITS = "kind int, bucket int, block int, keys binary, counts binary"
+UNITS = "kind int, bucket int, block int, m int, keys binary, counts binary"
 ANSWERS = "kind int, bucket int, block int, answer binary, n long, v long"
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -69,25 +71,45 @@ def keys_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
     return keys[own], first
 
 
-def block_parts(texts, train: np.ndarray, order: int):
-    """Distinct keys and words of a block in bucket-free order, with codes of every position."""
-    data, offsets = tb.utf8(texts)
-    data = tb.LOWER[data]
-    keys, first = keys_of(data, offsets, order)
-    codes, found = pd.factorize(keys)
-    key_train = np.repeat(train, np.diff(offsets) + 1)
-    grams = (found, codes, first, np.bincount(codes, weights=key_train, minlength=len(found)).astype(np.int64))
+def gram_chunks(data: np.ndarray, offsets: np.ndarray, order: int):
+    """Per chunk of texts: first and last text, key of every symbol, first key of each text."""
+    for i, j in tb.chunks(offsets):
+        keys, first = keys_of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], order)
+        yield i, j, keys, first
 
-    hashes, owner = [np.full(len(train), END_WORD)], [np.arange(len(train))]
+
+def word_chunks(data: np.ndarray, offsets: np.ndarray):
+    """Per chunk of texts: first and last text, hash of every word and of every text's end, text of each."""
     for i, j in tb.chunks(offsets):
         part, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         start, end, text = tb.words(part, at, tb.SOLID)
-        hashes.append(tb.span_hashes(part, start, end))
-        owner.append(text + i)
-    hashes, owner = np.concatenate(hashes), np.concatenate(owner)
-    codes, found = pd.factorize(hashes)
-    words = (found, codes, owner, np.bincount(codes, weights=train[owner], minlength=len(found)).astype(np.int64))
-    return grams, words
+        yield i, j, np.append(tb.span_hashes(part, start, end), np.full(j - i, END_WORD)), np.append(text, np.arange(j - i))
+
+
+def distinct(texts, train: np.ndarray, order: int):
+    """Distinct sorted keys and words of a block with their training counts; memory is that of a chunk and the result."""
+    data, offsets = tb.utf8(texts)
+    data = tb.LOWER[data]
+    grams, words = [], []
+    for i, j, keys, _ in gram_chunks(data, offsets, order):
+        codes, found = pd.factorize(keys)
+        owner = np.repeat(np.arange(i, j), np.diff(offsets[i:j + 1]) + 1)
+        grams.append((found, np.bincount(codes, train[owner], len(found)).astype(np.int64)))
+    for i, j, hashes, text in word_chunks(data, offsets):
+        codes, found = pd.factorize(hashes)
+        words.append((found, np.bincount(codes, train[i + text], len(found)).astype(np.int64)))
+    return [tb.group_sums(*(np.concatenate(x) for x in zip(*part))) for part in (grams, words)]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed; sorted ones as differences."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -111,11 +133,11 @@ def send(block: int, parts, buckets: int) -> pa.Table:
         order, there, at = dealt(kind, keys, buckets)
         keys, counts = keys[order], counts[order]
         for b, i, j in zip(there.tolist(), at[:-1].tolist(), at[1:].tolist()):
-            rows.append((kind, b, block, keys[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()))
-    kinds, where, blocks, k, c = zip(*rows) if rows else ([],) * 5
+            rows.append((kind, b, block, j - i, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[i:j].astype(np.uint32))))
+    kinds, where, blocks, m, k, c = zip(*rows) if rows else ([],) * 6
     return pa.table({
         "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(where, pa.int32()), "block": pa.array(blocks, pa.int32()),
-        "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary()),
+        "m": pa.array(m, pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary()),
     })
 
 
@@ -221,21 +243,21 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
 
     def units(key, table):
         train = ~table["held_out"].to_numpy()
-        grams, words = block_parts(table["text"], train.astype(np.int64), order)
-        return send(key[0].as_py(), [(GRAMS, (grams[0], grams[3])), (WORDS, (words[0], words[3]))], buckets)
+        grams, words = distinct(table["text"], train.astype(np.int64), order)
+        return send(key[0].as_py(), [(GRAMS, grams), (WORDS, words)], buckets)
 
     def reply(key, table):
         kind = key[0].as_py()
         blocks = table["block"].to_pylist()
-        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+        sizes = table["m"].to_pylist()
+        keys = [np.cumsum(unpacked(x, m, np.uint64), dtype=np.uint64) for x, m in zip(table["keys"].to_pylist(), sizes)]
+        counts = np.concatenate([unpacked(x, m, np.uint32) for x, m in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
         joined = np.concatenate(keys)
-        distinct, total = tb.group_sums(joined, counts)
-        values = total if kind == WORDS else log_probabilities(distinct, total, low, order)
-        values = values.astype(np.int64 if kind == WORDS else np.float32)
-        at = np.searchsorted(distinct, joined)
-        ends = np.cumsum([len(k) for k in keys])
-        answers = [values[at[e - len(k):e]].tobytes() for k, e in zip(keys, ends)]
+        found, total = tb.group_sums(joined, counts)
+        values = total if kind == WORDS else np.minimum(np.rint(-STEPS * log_probabilities(found, total, low, order)), 65535).astype(np.uint16)
+        at = np.searchsorted(found, joined)
+        ends = np.cumsum(sizes)
+        answers = [packed(values[at[e - m:e]]) for m, e in zip(sizes, ends)]
         n, v = (int(total.sum()), int((total > 0).sum())) if kind == WORDS else (0, 0)
         m = len(blocks)
         return pa.table({
@@ -251,29 +273,34 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
 
     def score(key, texts, replies):
         held = texts["held_out"].to_numpy()
-        grams, words = block_parts(texts["text"], (~held).astype(np.int64), order)
         got = {(k, b): a for k, b, a in zip(*(replies[x].to_pylist() for x in ("kind", "bucket", "answer")))}
 
         def values(kind: int, keys: np.ndarray, dtype) -> np.ndarray:
-            order_, there, _ = dealt(kind, keys, buckets)
+            order_, there, at = dealt(kind, keys, buckets)
             out = np.empty(len(keys), dtype)
-            flat = [np.frombuffer(got[kind, b], dtype) for b in there.tolist()]
-            out[order_] = np.concatenate(flat) if flat else np.zeros(0, dtype)
+            out[order_] = np.concatenate([unpacked(got[kind, b], m, dtype) for b, m in zip(there.tolist(), np.diff(at).tolist())])
             return out
 
-        logs = values(GRAMS, grams[0], np.float32).astype(np.float64)
-        counts = values(WORDS, words[0], np.int64)
-        rows = len(held)
-        scored = np.add.reduceat(logs[grams[1]], grams[2]) if rows else np.zeros(0)
+        grams, words = (part[0] for part in distinct(texts["text"], np.zeros(len(held), np.int64), order))
+        logs = values(GRAMS, grams, np.uint16) / -STEPS
+        counts = values(WORDS, words, np.int64)
         base = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
+        data, offsets = tb.utf8(texts["text"])
+        data = tb.LOWER[data]
+        scored, based, tokens, known = (np.zeros(len(held)) for _ in range(4))
+        for i, j, keys, first in gram_chunks(data, offsets, order):
+            codes, found = pd.factorize(keys)
+            scored[i:j] = np.add.reduceat(logs[np.searchsorted(grams, found)][codes], first)
+        for i, j, hashes, text in word_chunks(data, offsets):
+            codes, found = pd.factorize(hashes)
+            at = np.searchsorted(words, found)
+            tokens[i:j] = np.bincount(text, minlength=j - i)
+            known[i:j] = np.bincount(text, (counts[at] > 0)[codes], j - i)
+            based[i:j] = np.bincount(text, base[at][codes], j - i)
         return pa.table({
             "doc_id": texts["doc_id"].cast(pa.int64()), "held_out": texts["held_out"],
-            "n_tokens": np.bincount(words[2], minlength=rows).astype(np.int64),
-            "n_known": np.bincount(words[2], weights=(counts > 0)[words[1]], minlength=rows).astype(np.int64),
-            "train_tokens": np.full(rows, n, np.int64),
-            "base_score": np.bincount(words[2], weights=base[words[1]], minlength=rows),
-            "score": scored,
-            "n_bytes": np.diff(np.append(grams[2], len(grams[1]))) - 1,
+            "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(held), n, np.int64),
+            "base_score": based, "score": scored, "n_bytes": np.diff(offsets),
         })
 
     return by_block.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(score, SCORES)
