@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REFERENCES = 2
-SAME_ARTICLE = 0.6
+SAME_ARTICLE = 0.8
 DEEPEST = 200
 WIDEST = 400
 # Fixed tag sets of HTML.
@@ -230,12 +230,13 @@ def main_text(page: Node, references: list[Node]) -> str:
     """The page's main text, by its markup and what its references share with it."""
     found = blocks(page)
     marked = any(b[1] and not b[3] for b in found)
-    own = {i for b in found for i in b[4] if not b[3] and b[1] == marked}
+    own = [(len(b[0]), b[4]) for b in found if not b[3] and b[1] == marked]
+    size = sum(n for n, _ in own)
     template: set[int] = set()
     for reference in references:
         constant: set[int] = set()
         match(page, reference, constant)
-        if not own or len(own & constant) < SAME_ARTICLE * len(own):
+        if sum(n for n, ids in own if constant.issuperset(ids)) < SAME_ARTICLE * size:
             template |= constant
     kept = []
     for text, main, prose, dropped, ids, link in found:

@@ -195,7 +195,7 @@ def learn(docs: DataFrame, pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
         for name, uses in total.items():
             units = np.rint(uses * UNITS).astype(np.int64)
             there = np.flatnonzero(units)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(there)), pa.array(there, pa.int32()), pa.array(units[there])], ["lang", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(units[there], pa.int64())], ["lang", "piece", "n"])
 
     summed = docs.select("lang", "text").mapInArrow(run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     rows = summed.toArrow()
