@@ -5,14 +5,16 @@ reach the similarity t, the first n - ceil(t n) + L and m - ceil(t m) + L of the
 shingles, for any L up to the overlap. Each document takes the L of least estimated cost: the
 shingles it sends, and the partners their frequencies promise divided by L. A pair is a
 candidate if its prefixes share as many shingles as the smaller L of the two, and its sizes
-allow the similarity. Candidates are verified on their whole sets.
+allow the similarity, and what they share in the prefixes together with all that follows the
+longer rest could still reach it. Candidates are verified on their whole sets.
 
 Equal sets are one class from the start (its key is a 64-bit sum over the set), so copies never
-meet in pairs. Linked classes are joined in two rounds. First, in the lists of every sixteenth
-shared shingle, all classes are compared with the first and the last of the list: a large group
-of near copies grows together by a few links each. Then all lists are taken, but only pairs
-whose ends are still in different components are candidates; they are the only ones that can
-change the result. Nothing is left out, and a group is never expanded into its pairs.
+meet in pairs. Linked classes are joined in rounds. In each of the first, in the lists of every
+eighth shared shingle (others each time), all classes are compared with the first and the last
+of the list (in another order each time), unless they are in one component already: a large
+group of near copies grows together by a few links each. Then all lists are taken, but only
+pairs whose ends are still in different components are candidates; they are the only ones that
+can change the result. Nothing is left out, and a group is not expanded into its pairs.
 
 Prefixes travel packed, a list per task and bucket. The frequency table has ``COUNTERS``
 entries, whatever the input: shingles share entries, so it tells common passages from the
@@ -39,11 +41,12 @@ from keepsake.session import settle
 WIDTH = 5
 PERCENT = 75
 BUCKET_BYTES = 8 << 20
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 SLICES = 64
 FLUSH = 1 << 20
 MOST = 3
-ANCHOR = 16
+ANCHOR = 8
+ROUNDS = 4
 SETS = "doc_id long, content long, n long, cls long, slice int, part int, counters binary"
 
 
@@ -225,6 +228,30 @@ def alike(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def beyond(n: str, ask: str, percent: int):
+    """Shingles of a set that its prefix leaves out."""
+    return F.ceil(F.col(n) * percent / 100 - 1e-9) - F.col(ask)
+
+
+def star_pairs(rows: DataFrame, labels: DataFrame | None, number: int, percent: int) -> DataFrame:
+    """Pairs of a class and the ends of its lists, in an order of classes of this round's own, across components."""
+    taken = rows.filter(F.pmod(F.xxhash64("token", F.lit(number)), F.lit(ANCHOR)) == 0)
+    if labels is None:
+        taken = taken.withColumn("component", F.col("cls"))
+    else:
+        taken = taken.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    me = F.struct(F.xxhash64("cls", F.lit(number)).alias("place"), "cls", "n", "component")
+    lists = taken.groupBy("token").agg(
+        F.min(me).alias("low"), F.max(me).alias("high"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).filter("lo < hi").select("token", "low", "high")
+    met = taken.join(lists, "token").select("token", "cls", "n", "component", F.explode(F.array_distinct(F.array("low", "high"))).alias("e"))
+    met = met.filter("e.component <> component").filter(alike("n", "e.n", percent)).groupBy(
+        F.least("cls", "e.cls").alias("a"), F.greatest("cls", "e.cls").alias("b")).agg(
+        F.count_distinct("token").alias("met"), F.min(F.least("n", "e.n")).alias("n"))
+    # a guess from the lists taken; what it leaves out is left to the last round
+    return met.filter(2 * ANCHOR * (100 + percent) * F.col("met") >= (100 - percent) * percent * F.col("n") / 100).select("a", "b")
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; links are pairs of ``percent`` or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
@@ -241,18 +268,17 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     )
     texts = settle(
         docs.join(classes.select("cls", F.col("doc_id").alias("d"), F.col("content").alias("c")),
-                  (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).groupBy("cls").agg(F.first("text").alias("text")),
+                  (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).select("cls", "text"),
         "texts",
     )
     rows = shared.join(classes.select("cls", "n", "doc_id"), "cls")
 
-    ends = rows.filter(F.pmod(F.xxhash64("token"), F.lit(ANCHOR)) == 0)
-    lists = ends.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("low"), F.max(F.struct("cls", "n")).alias("high"))
-    star = ends.join(lists, "token").select("cls", "n", F.explode(F.array("low", "high")).alias("e"))
-    star = star.filter(F.col("e.cls") != F.col("cls")).filter(alike("n", "e.n", percent)).select(
-        F.least("cls", "e.cls").alias("a"), F.greatest("cls", "e.cls").alias("b")).distinct()
-    first = settle(verified(star, texts, width, percent), "links")
-    labels = components(first)
+    first, labels = None, None
+    for r in range(ROUNDS):
+        star = settle(star_pairs(rows, labels, r, percent), "star")
+        found = settle(verified(star, texts, width, percent), "links")
+        first = found if first is None else first.union(found)
+        labels = settle(components(first), "labels")
 
     marked = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", "n", "ask", F.coalesce("component", "cls").alias("component"))
@@ -261,7 +287,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     x, y = (marked.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "ask", "component")]) for s in ("_a", "_b"))
     across = x.join(y, "token").filter("cls_a < cls_b and component_a <> component_b").filter(alike("n_a", "n_b", percent))
     across = across.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("ask_a", "ask_b")).alias("ask")).filter("shared >= ask").select("a", "b")
+        F.count("*").alias("shared"), F.min(F.least("ask_a", "ask_b")).alias("ask"),
+        F.max(F.greatest(beyond("n_a", "ask_a", percent), beyond("n_b", "ask_b", percent))).alias("beyond"),
+        F.max(F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)).alias("need"),
+    ).filter("shared >= ask and shared + beyond >= need").select("a", "b")
     second = verified(across, texts, width, percent)
 
     ids = classes.select("cls", "doc_id")
