@@ -6,7 +6,8 @@ shingles, for any L up to the overlap. Each document takes the L of least estima
 shingles it sends, and the partners their frequencies promise divided by L. A pair is a
 candidate if its prefixes share as many shingles as the smaller L of the two, and its sizes
 allow the similarity, and what they share in the prefixes together with all that follows the
-longer rest could still reach it. Candidates are verified on their whole sets.
+longer rest could still reach it. Bitmaps of ``64 * SKETCH`` marks rule out pairs that lack
+too many of each other's marks. Candidates are verified on their whole sets.
 
 Equal sets are one class from the start (its key is a 64-bit sum over the set), so copies never
 meet in pairs. Linked classes are joined in rounds. In each of the first, in the lists of every
@@ -47,7 +48,8 @@ FLUSH = 1 << 20
 MOST = 3
 ANCHOR = 8
 ROUNDS = 4
-SETS = "doc_id long, content long, n long, cls long, slice int, part int, counters binary"
+SKETCH = 16
+SETS = "doc_id long, content long, n long, cls long, bits array<long>, slice int, part int, counters binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,11 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for _, _, found, _, size, cls in sets_of(batch.column(2), width):
+            sizes, classes, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for _, _, found, texts, size, cls in sets_of(batch.column(2), width):
+                marks = np.zeros((len(size), SKETCH * 64), bool)
+                marks[texts, ((found >> np.uint64(32)) % np.uint64(SKETCH * 64)).astype(np.int64)] = True
+                bits.append(np.packbits(marks, axis=1).view(np.int64).reshape(-1))
                 counters += np.bincount((found % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 sizes.append(size)
                 classes.append(cls)
@@ -102,14 +107,15 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, mask=sizes == 0),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate(bits), pa.int64())),
                 none, none, pa.nulls(len(sizes), pa.binary()),
-            ], names=["doc_id", "content", "n", "cls", "slice", "part", "counters"])
+            ], names=["doc_id", "content", "n", "cls", "bits", "slice", "part", "counters"])
         parts = np.array_split(counters.astype(np.uint32), SLICES)
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([
-            none, none, none, none, pa.array(range(SLICES), pa.int32()),
+            none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()),
             pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
-        ], names=["doc_id", "content", "n", "cls", "slice", "part", "counters"])
+        ], names=["doc_id", "content", "n", "cls", "bits", "slice", "part", "counters"])
 
     return settle(docs.mapInArrow(run, SETS), "shingle-sets")
 
@@ -233,6 +239,16 @@ def beyond(n: str, ask: str, percent: int):
     return F.ceil(F.col(n) * percent / 100 - 1e-9) - F.col(ask)
 
 
+def need(percent: int):
+    """Shingles that two sets of sizes n_a and n_b must share."""
+    return F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
+
+
+def only(bits: str, other: str):
+    """Marks of one set that the other lacks: each stands for a shingle of its own at least."""
+    return sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(SKETCH)), F.lit(0))
+
+
 def star_pairs(rows: DataFrame, labels: DataFrame | None, number: int, percent: int) -> DataFrame:
     """Pairs of a class and the ends of its lists, in an order of classes of this round's own, across components."""
     taken = rows.filter(F.pmod(F.xxhash64("token", F.lit(number)), F.lit(ANCHOR)) == 0)
@@ -257,14 +273,14 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     buckets = max(16, blocks_for(bytes_of(docs), bucket_bytes))
     described = describe(docs, width)
-    sets = described.filter("slice is null").select("doc_id", "content", "n", "cls")
+    sets = described.filter("slice is null").select("doc_id", "content", "n", "cls", "bits")
     often = frequencies(described)
     shared = settle(shared_prefixes(docs, often, buckets, width, percent), "shared-prefixes")
     classes = sets.filter("cls is not null").groupBy("cls").agg(
-        F.min_by(F.struct("doc_id", "content"), F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))).alias("first"), F.max("n").alias("n"),
+        F.min_by(F.struct("doc_id", "content"), F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))).alias("first"), F.max("n").alias("n"), F.first("bits").alias("bits"),
     )
     classes = settle(
-        classes.join(shared.select("cls").distinct(), "cls", "left_semi").filter("first is not null").select("cls", "first.*", "n"), "classes",
+        classes.join(shared.select("cls").distinct(), "cls", "left_semi").filter("first is not null").select("cls", "first.*", "n", "bits"), "classes",
     )
     texts = settle(
         docs.join(classes.select("cls", F.col("doc_id").alias("d"), F.col("content").alias("c")),
@@ -284,12 +300,15 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
         "token", "cls", "n", "ask", F.coalesce("component", "cls").alias("component"))
     open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     marked = settle(marked.join(open_lists, "token", "left_semi"), "open-lists")
-    x, y = (marked.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "ask", "component")]) for s in ("_a", "_b"))
-    across = x.join(y, "token").filter("cls_a < cls_b and component_a <> component_b").filter(alike("n_a", "n_b", percent))
+    marked = marked.join(classes.select("cls", "bits"), "cls")
+    x, y = (marked.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "ask", "component", "bits")]) for s in ("_a", "_b"))
+    across = x.join(y, "token").filter("cls_a < cls_b and component_a <> component_b").filter(alike("n_a", "n_b", percent)).filter(
+        F.least(F.col("n_a") - only("bits_a", "bits_b"), F.col("n_b") - only("bits_b", "bits_a")) >= need(percent)
+    ).select("cls_a", "cls_b", "n_a", "n_b", "ask_a", "ask_b")
     across = across.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("ask_a", "ask_b")).alias("ask"),
         F.max(F.greatest(beyond("n_a", "ask_a", percent), beyond("n_b", "ask_b", percent))).alias("beyond"),
-        F.max(F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)).alias("need"),
+        F.max(need(percent)).alias("need"),
     ).filter("shared >= ask and shared + beyond >= need").select("a", "b")
     second = verified(across, texts, width, percent)
 
