@@ -288,13 +288,14 @@ def restore_eligibility(
 def restore_plan(restorejob: DataFrame, catalog: DataFrame, flags: DataFrame) -> DataFrame:
     """How a restore runs. ``flags(dump_id, has_database, ...)`` come from the table of contents.
 
-    ``direct``: straight into the destination, else staged and moved in place at the end.
+    ``direct``: straight into the destination, else staged and moved in place at the end. A
+    restore of data only never touches the database itself, so it is direct.
     """
     c = catalog.select(F.col("id").alias("c_id"), "bu_name")
     t = flags.select(F.col("dump_id").alias("t_id"), "has_database")
     rows = restorejob.join(c, F.col("c_id") == F.col("catalog_id")).join(t, F.col("t_id") == F.col("catalog_id"), "left")
     sql = F.col("bu_name").rlike(s.EXTENSION_PATTERN)
-    direct = ~F.coalesce("has_database", F.lit(False)) | (F.col("restoreschema") != "*")
+    direct = ~F.coalesce("has_database", F.lit(False)) | (F.col("restoreschema") != "*") | (F.col("restoretype") == "DATA")
     options = F.array_join(
         F.array_compact(
             F.array(

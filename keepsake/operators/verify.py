@@ -47,10 +47,13 @@ def verify_sample(catalog: DataFrame, percent: int = DEFAULT_PERCENT, seed: str
 
 
 def fingerprint_columns(df: DataFrame, columns: list[str]) -> list:
-    """Columns in a form that hashes: maps as their sorted entries."""
+    """Columns in a form that hashes: nested ones as JSON text, maps in the order of their keys."""
     out = []
     for c in columns:
         kind = df.schema[c].dataType
+        if isinstance(kind, T.MapType):
+            out.append(F.to_json(F.array_sort(F.map_entries(c)))) if not isinstance(kind.valueType, T.MapType) else out.append(F.to_json(F.col(c)))
+            continue
         out.append(F.to_json(F.col(c)) if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)) else F.col(c))
     return out
 
@@ -59,7 +62,8 @@ def row_hash(df: DataFrame, columns: list[str], portable: bool = False):
     """One number per row. ``portable`` uses md5 over text, which other engines compute too."""
     parts = fingerprint_columns(df, columns)
     if not portable:
-        return F.xxhash64(*parts).cast("decimal(20,0)")
+        # null flags, as the hash skips nulls and would not see a value change its column
+        return F.xxhash64(*[x for p in parts for x in (p.isNull(), p)]).cast("decimal(20,0)")
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
 

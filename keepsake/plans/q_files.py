@@ -30,7 +30,10 @@ def _pipe(m):
 def _tsv(m):
     path = work_dir(m.spark, "tsv")
     tf.export_tsv(m.catalog.select("id", "bu_name", "message", "dbsize"), path)
-    return m.spark.read.csv(path, sep="\t", header=True, schema="id int, bu_name string, message string, dbsize bigint")
+    parts = F.split("value", "\t")
+    rows = m.spark.read.text(path).filter("value <> 'id\tbu_name\tmessage\tdbsize'")
+    return rows.select(*[F.get(parts, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(
+        [("id", "int"), ("bu_name", "string"), ("message", "string"), ("dbsize", "bigint")])])
 
 
 @query("file_inventory", """select 'dump ' || source || '/' || doc_id || '.dat.gz' as path, md5(text) as checksum, cast(strlen(text) as bigint) as size from documents""")

@@ -47,7 +47,7 @@ union all select 'default_worker', cast(k.id as string), cast(p.worker_id_defaul
 union all select 'def_jobstatus', cast(k.id as string), p.def_jobstatus
   from (select distinct pgsql_instance_id as id from fx_discovered) k left join fx_instance p on p.id = k.id
 union all select 'instance_id', k.dns_name || '|' || k.pgport, cast(p.id as string)
-  from (select distinct dns_name, pgport from fx_instance where dns_name <> 'local') k left join fx_instance p on p.dns_name = k.dns_name and p.pgport = k.pgport
+  from (select distinct dns_name, pgport from fx_instance) k left join fx_instance p on p.dns_name = k.dns_name and p.pgport = k.pgport
 union all select 'worker_id', dns_name, cast(id as string) from fx_worker
 union all select 'cron_clean', cast(k.id as string), w.cron_clean
   from (select distinct worker_id_default as id from fx_instance) k left join fx_worker w on w.id = k.id
@@ -66,7 +66,7 @@ def _lookups(m):
         j.lookup(inst, ids(m.dumpjob, "pgsql_instance_id"), ["id"], s.host_port("dns_name", "pgport"), "instance_name"),
         j.lookup(inst, ids(m.restorejob, "dest_pgsql_instance_id"), ["id"], F.col("worker_id_default"), "default_worker"),
         j.lookup(inst, ids(m.discovered, "pgsql_instance_id"), ["id"], F.col("def_jobstatus"), "def_jobstatus"),
-        j.lookup(inst, inst.filter("dns_name <> 'local'"), ["dns_name", "pgport"], F.col("id"), "instance_id"),
+        j.lookup(inst, inst, ["dns_name", "pgport"], F.col("id"), "instance_id"),
         j.lookup(m.worker, m.worker, ["dns_name"], F.col("id"), "worker_id"),
         j.lookup(m.worker, ids(inst, "worker_id_default"), ["id"], F.col("cron_clean"), "cron_clean"),
         j.lookup(m.dumpjob, ids(m.catalog, "dumpjob_id"), ["id"], F.col("status"), "dumpjob_status"),
@@ -188,7 +188,7 @@ def _restore_eligibility(m):
 
 
 @query("restore_plan", """with t as (select dump_id, max(case when contains(line, 'DATABASE') then 1 else 0 end) as db from fx_toc group by dump_id),
-x as (select r.*, ends_with(c.bu_name, '.sql.gz') as is_sql, coalesce(t.db, 0) = 0 or r.restoreschema <> '*' as direct
+x as (select r.*, ends_with(c.bu_name, '.sql.gz') as is_sql, coalesce(t.db, 0) = 0 or r.restoreschema <> '*' or r.restoretype = 'DATA' as direct
   from fx_restorejob r join fx_catalog c on c.id = r.catalog_id left join t on t.dump_id = r.catalog_id)
 select id, case when is_sql then 'SQL' else 'DIR' end as mode, case when not is_sql then case when direct then 'DIRECT' else 'STAGED' end end as target,
   concat_ws(' ', nullif(restoreoptions, ''), case when not is_sql and restoretype = 'DATA' then '--data-only' end,

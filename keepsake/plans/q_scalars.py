@@ -116,9 +116,9 @@ def _f21(m):
     return m.catalog.select("id", s.numeric_round(F.col("id").cast("decimal(20,0)") * 25 / 100).alias("v"))
 
 
-@query("percent_text", "select id, cast(cast(round_even(cast(dumpsize as double) / cast(dbsize as double) * 100, 0) as bigint) as string) as v from fx_catalog where dbsize > 0")
+@query("percent_text", "select id, cast(cast(round_even(cast(dumpsize as double) / nullif(cast(dbsize as double), 0) * 100, 0) as bigint) as string) as v from fx_catalog")
 def _f22(m):
-    return m.catalog.filter("dbsize > 0").select("id", s.percent_text("dumpsize", "dbsize").alias("v"))
+    return m.catalog.select("id", s.percent_text("dumpsize", "dbsize").alias("v"))
 
 
 @query("overlap_instant", f"select id, starttime <= timestamp '{NOW}' and timestamp '{NOW}' < endtime as v, starttime <= date_trunc('hour', endtime) and date_trunc('hour', endtime) < endtime as w from fx_catalog")

@@ -259,7 +259,7 @@ def snapshot_copy(spark: SparkSession, snapshot: str, jobs: list[RestoreJob]) ->
 
 def restore_log(spark: SparkSession, results: list[Restored], snapshot: str, start: dt.datetime, end: dt.datetime, worker_id: int = 0) -> DataFrame:
     """Restore log rows of finished restores."""
-    db = snapshot.rstrip("/").split("/")[-1].split("_")[1] if results else None
+    db = next((e["dbname"] for e in _entries(spark, snapshot)), None) if results else None
     rows = [
         (None, r.job.id, start, end, r.status, snapshot, r.message, worker_id, None, None, r.job.dest_dbname,
          r.job.restoreschema, r.job.restoretype, db)

@@ -57,8 +57,10 @@ def read_pipe(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def export_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated with header; nulls print as ``None``."""
-    df.write.csv(path, sep="\t", header=True, nullValue="None", emptyValue="", escapeQuotes=False)
+    """A header and tab-separated lines, values bare as they are, nulls as ``None``."""
+    values = [F.coalesce(F.when(F.col(c).isNotNull(), _plain(df, c)), F.lit("None")) for c in df.columns]
+    header = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string").coalesce(1)
+    header.unionByName(df.select(F.concat_ws("\t", *values).alias("value"))).write.text(path)
 
 
 def _stream_md5(batches):

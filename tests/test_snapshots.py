@@ -166,3 +166,24 @@ def test_activity_state_over_batches(spark, tmp_path):
     assert put([(1, t, 1, 10, "START"), (2, t, 1, 11, "START"), (3, t, 2, 10, "START"), (4, t, 2, 10, "END")]) == [(1, 10), (1, 11)]
     assert put([(5, t, 1, 10, "END"), (6, t, 2, 10, "START")]) == [(1, 11), (2, 10)]
     assert put([(7, t, 9, 9, "END")]) == [(1, 11), (2, 10)]
+
+
+def test_data_restores_are_planned_direct(spark):
+    from keepsake.operators import jobs
+
+    job = "id int, catalog_id int, restoretype string, restoreschema string, existing_db string, restoreoptions string, role_handling string, tblspc_handling string"
+    kinds = [(i, 1, kind, schema, existing, "", "USE_ROLE", "USE_TBLSPC") for i, (kind, schema, existing) in enumerate(
+        (k, s, e) for k in ("FULL", "DATA", "SCHEMA") for s in ("*", "s1") for e in ("DROP", "RENAME", "LEAVE", "TRUNCATE"))]
+    catalog = spark.createDataFrame([(1, "1_shop_FULL_x")], "id int, bu_name string")
+    flags = spark.createDataFrame([(1, True)], "dump_id int, has_database boolean")
+    got = {r["id"]: r for r in jobs.restore_plan(spark.createDataFrame(kinds, job), catalog, flags).collect()}
+    for i, _, kind, schema, *_ in kinds:
+        direct = kind == "DATA" or schema != "*"
+        assert (got[i]["target"] == "DIRECT", got[i]["final_action"] == "NONE") == (direct, direct)
+
+
+def test_row_hash_sees_nulls_change_places(spark):
+    from keepsake.operators import verify
+
+    df = spark.createDataFrame([(None, 5), (5, None)], "a int, b int")
+    assert df.select(verify.row_hash(df, ["a", "b"]).alias("h")).distinct().count() == 2
