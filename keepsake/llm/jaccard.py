@@ -15,7 +15,8 @@ eighth shared shingle (others each time), all classes are compared with the firs
 of the list (in another order each time), unless they are in one component already: a large
 group of near copies grows together by a few links each. Then all lists are taken, but only
 pairs whose ends are still in different components are candidates; they are the only ones that
-can change the result. Nothing is left out, and a group is not expanded into its pairs.
+can change the result. Long lists meet block by block, so no task holds a whole one. Nothing is
+left out, and a group is not expanded into its pairs.
 
 Prefixes travel packed, a list per task and bucket. The frequency table has ``COUNTERS``
 entries, whatever the input: shingles share entries, so it tells common passages from the
@@ -49,6 +50,9 @@ MOST = 3
 ANCHOR = 8
 ROUNDS = 4
 SKETCH = 16
+BLOCK = 2048
+PART_ROWS = 1 << 16
+PAIRS = 1 << 17
 SETS = "doc_id long, content long, n long, cls long, bits array<long>, slice int, part int, counters binary"
 
 
@@ -234,19 +238,75 @@ def alike(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def beyond(n: str, ask: str, percent: int):
-    """Shingles of a set that its prefix leaves out."""
-    return F.ceil(F.col(n) * percent / 100 - 1e-9) - F.col(ask)
-
-
-def need(percent: int):
-    """Shingles that two sets of sizes n_a and n_b must share."""
-    return F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
-
-
-def only(bits: str, other: str):
-    """Marks of one set that the other lacks: each stands for a shingle of its own at least."""
-    return sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(SKETCH)), F.lit(0))
+def in_parts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of the lists that reach across components, dealt to parts.
+
+    A list of k classes falls into blocks of about ``BLOCK``, a power of two of them, and each two blocks
+    meet in one part. Lists with the same lowest component lie together, up to ``PART_ROWS`` rows,
+    as they are likely to hold the same pairs.
+    """
+    lists = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo < hi")
+    lists = settle(lists.withColumn("m", F.expr(f"cast(power(2, ceil(log2(greatest(1, k / {BLOCK})))) as int)")).select("token", "lo", "k", "m"), "open-lists")
+    weights = lists.groupBy("lo").agg(F.ceil(F.sum(F.col("k") * F.col("m")) / PART_ROWS).alias("salts"))
+    lists = lists.join(weights, "lo").withColumn("place", F.xxhash64("lo", F.pmod(F.xxhash64("token"), "salts"))).select("token", "m", "place")
+    met = rows.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("cls"), "m").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return met.withColumn("part", F.pmod(F.xxhash64("place", "low", "high"), F.lit(buckets)).cast("int")).select(
+        "part", "token", "low", "high", "block", "cls", "n", "ask", "component")
+
+
+def across_components(dealt: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``a, b`` whose ends are in different components, by prefixes, sizes and bitmaps."""
+
+    def summed(parts):
+        a, b, shared, ask, beyond, need = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
+        counts = np.add.reduceat(shared[order], new) if len(a) else shared
+        first = order[new]
+        return a[new], b[new], counts, ask[first], beyond[first], need[first]
+
+    def meet(table):
+        col = {c: table[c].to_numpy() for c in ("token", "low", "high", "block", "cls", "n", "ask", "component")}
+        order = np.lexsort((col["cls"], col["high"], col["low"], col["token"]))
+        marks = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)[order].T.copy()
+        col = {c: v[order] for c, v in col.items()}
+        token, low, high, block, cls, n, ask, component = col.values()
+        n, ask = n.astype(np.int64), ask.astype(np.int64)
+        begins = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        ends = np.repeat(np.append(begins[1:], len(token)), np.diff(np.append(begins, len(token))))
+        after = ends - np.arange(len(token)) - 1
+        upto = np.concatenate(([0], np.cumsum(after)))
+        held, size = [tuple(np.zeros(0, np.int64) for _ in range(6))], 0
+        row = 0
+        while row < len(token):
+            last = max(row + 1, int(np.searchsorted(upto, upto[row] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(row, last), after[row:last])
+            y = np.arange(len(x)) - (upto[x] - upto[row]) + x + 1
+            row = last
+            some = (component[x] != component[y]) & ((low[x] == high[x]) | (block[x] != block[y]))
+            some &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[some], y[some]
+            need = -(-(n[x] + n[y]) * percent // (100 + percent))
+            spare_x, spare_y = n[x] - need, n[y] - need
+            for word in marks:
+                u, v = word[x], word[y]
+                spare_x -= np.bitwise_count(u & ~v)
+                spare_y -= np.bitwise_count(v & ~u)
+            good = (spare_x >= 0) & (spare_y >= 0)
+            x, y, need = x[good], y[good], need[good]
+            beyond = -(-percent * n // 100) - ask
+            held.append((cls[x], cls[y], np.ones(len(x), np.int64), np.minimum(ask[x], ask[y]), np.maximum(beyond[x], beyond[y]), need))
+            size += len(x)
+            if size > 4 * PAIRS:
+                held, size = [summed(held)], 0
+        return pa.table(dict(zip(("a", "b", "shared", "ask", "beyond", "need"), summed(held))))
+
+    pairs = dealt.groupBy("part").applyInArrow(meet, "a long, b long, shared long, ask long, beyond long, need long")
+    return pairs.groupBy("a", "b").agg(
+        F.sum("shared").alias("shared"), F.min("ask").alias("ask"), F.max("beyond").alias("beyond"), F.max("need").alias("need"),
+    ).filter("shared >= ask and shared + beyond >= need").select("a", "b")
 
 
 def star_pairs(rows: DataFrame, labels: DataFrame | None, number: int, percent: int) -> DataFrame:
@@ -298,18 +358,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
 
     marked = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", "n", "ask", F.coalesce("component", "cls").alias("component"))
-    open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    marked = settle(marked.join(open_lists, "token", "left_semi"), "open-lists")
-    marked = marked.join(classes.select("cls", "bits"), "cls")
-    x, y = (marked.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "ask", "component", "bits")]) for s in ("_a", "_b"))
-    across = x.join(y, "token").filter("cls_a < cls_b and component_a <> component_b").filter(alike("n_a", "n_b", percent)).filter(
-        F.least(F.col("n_a") - only("bits_a", "bits_b"), F.col("n_b") - only("bits_b", "bits_a")) >= need(percent)
-    ).select("cls_a", "cls_b", "n_a", "n_b", "ask_a", "ask_b")
-    across = across.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("ask_a", "ask_b")).alias("ask"),
-        F.max(F.greatest(beyond("n_a", "ask_a", percent), beyond("n_b", "ask_b", percent))).alias("beyond"),
-        F.max(need(percent)).alias("need"),
-    ).filter("shared >= ask and shared + beyond >= need").select("a", "b")
+    dealt = in_parts(settle(marked, "marked"), buckets).join(classes.select("cls", "bits"), "cls")
+    across = across_components(dealt, percent)
     second = verified(across, texts, width, percent)
 
     ids = classes.select("cls", "doc_id")
