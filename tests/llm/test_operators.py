@@ -306,6 +306,31 @@ def test_op10_components(spark, docs, none):
     assert kept == sorted(i for i, _, c in plain_components(made) if i == c)
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_op10_pairs_across_components(spark, monkeypatch, block):
+    """Long lists that meet block by block give each pair as often as it shares shingles."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    sets = {k: set(rng.choice(40, 24, replace=False).tolist()) for k in range(24)} | {30 + k: set(range(23 + k)) for k in range(9)}
+    component = {k: k // 2 for k in sets}
+    bits = []
+    for k, s in sets.items():
+        marks = np.zeros(64 * jaccard.SKETCH, bool)
+        marks[list(s)] = True
+        bits.append((k, np.packbits(marks).view(np.int64).tolist()))
+    lists = [(t, k, len(s), 1, component[k]) for k, s in sets.items() for t in s]
+    kind = "token long, cls long, n long, ask int, component long"
+    marked = spark.createDataFrame(lists, kind)
+    marks = spark.createDataFrame(bits, "cls long, bits array<long>")
+    got = sorted((r.a, r.b) for r in jaccard.across_components(jaccard.in_parts(marked, 16).join(marks, "cls"), 75).collect())
+    assert got == sorted(
+        (a, b) for a, x in sets.items() for b, y in sets.items()
+        if a < b and component[a] != component[b] and 100 * len(x & y) >= 75 * len(x | y))
+    assert got
+    dealt = jaccard.in_parts(spark.createDataFrame([], kind), 16).join(marks, "cls")
+    assert jaccard.across_components(dealt, 75).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
