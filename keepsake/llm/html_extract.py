@@ -1,29 +1,32 @@
-"""Main text of web pages by wrapper induction over the pages of a host.
-
-Pages become trees. Each page is aligned with up to ``REFERENCES`` other pages of its host by
-simple tree matching: the largest order-preserving match of equal tags, from the root down.
-Matched nodes with equal text are constant, part of the host's template; the others are slots
-that vary, and hold content. A reference that agrees with the page in most of its own main text
-is the same article again and gives no evidence.
-
-What is left of the page is read through its markup: elements and classes of menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped; if the
-page marks an article or main part, only that is read, where paragraphs, headings, lists,
-quotes, code and tables stay whether constant or not, as articles repeat sentences. Elsewhere
-a block must vary and not consist of links.
-
-References are the pages with the smallest content hash in each of ``REFERENCES`` classes,
-found by partial aggregates, so a host with a third of all pages sends one page per task and
-class. Pages meet the references of their host in a join on the host, which can be split.
+"""Main text of web pages by wrapper induction over all pages of a host.
+
+Pages become trees, and trees become blocks of text with the path of tags that leads to them.
+A block is constant if its path and text stand on most of the host's different pages: it belongs
+to the template, inside the article too. The others are slots that vary. The element that holds
+``HELD`` of a host's varying text outside links, counted over all its pages, is where its content
+is; the path of that element has classes, but no positions, so it is found on every page.
+
+Markup breaks ties. Within that element, an article or main part is read alone if the page marks
+one; elements and classes of menus, headers, footers, sidebars, notices, adverts, forms and
+comments below it are dropped, as are blocks that consist of links, unless they are prose of a
+marked part. Prose of a marked part is constant only on ``SURE`` pages or more, as a few articles
+may share a sentence. If the element lies in such a dropped part while other text varies too, the
+other text decides. A page of which nothing would be left, or of a host without a second page, is
+read by its markup alone, as is one of less than ``SURE`` pages that share ``SAME_ARTICLE`` of it.
+
+Pages of equal content count once. Counts are per host and block, or per host and path, and
+partial before each shuffle, so a host with a third of all pages sends one row per task for each
+block of its template. Pages meet the template of their host in a join that can be split.
 
 Defined cases: null or empty html gives an empty text; a null or unreadable url is a host of
-its own; a host with one page has no references and is read by markup alone; unclosed and
-misplaced tags are read as browsers do in the common cases; trees deeper than ``DEEPEST`` are
-flattened there. Repeated pages are each extracted. An empty table gives no rows.
+its own; unclosed and misplaced tags are read as browsers do in the common cases; trees deeper
+than ``DEEPEST`` are flattened there. Repeated pages are each extracted. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -31,16 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REFERENCES = 2
+from keepsake.session import settle
+
+MOST = 0.5
+SURE = 5
+HELD = 0.8
 SAME_ARTICLE = 0.8
 DEEPEST = 200
-WIDEST = 400
 # Fixed tag sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
     "head title script style noscript template iframe object svg canvas nav footer aside form button select textarea "
     "input label fieldset dialog menu datalist audio video map".split()
 )
+HIDDEN = frozenset("head title script style noscript template iframe object svg canvas audio video map".split())
 BLOCKS = frozenset(
     "html body p div section article main header footer aside nav h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address hr form fieldset details summary".split()
@@ -65,13 +72,16 @@ NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "text", "dropped", "main")
+    __slots__ = ("tag", "kids", "text", "dropped", "main", "name")
 
     def __init__(self, tag: str, attrs=()):
         self.tag, self.kids, self.text, self.dropped, self.main = tag, [], None, tag in DROPPED, tag in ("article", "main")
+        self.name = tag
         for key, value in attrs:
             if key in ("class", "id", "role") and value and tag not in ("html", "body"):
                 names = set(NAME.findall(value.lower()))
+                if key == "class":
+                    self.name = ".".join([tag, *sorted(names)])
                 if key == "role" and "main" in names:
                     self.main = True
                 if names & MARKS and not (self.main or tag == "body" or (tag in ("div", "section", "header") and names & CONTENT_MARKS and not names & {"comment", "comments", "ad", "ads", "sidebar"})):
@@ -138,149 +148,166 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", text).strip()
 
 
-def match(a: Node, b: Node, constant: set[int]) -> None:
-    """Simple tree matching of two nodes of one tag; ids of a's constant text nodes are added.
+class Block:
+    """Text of a block: its key on the host, the path of its container, and what markup says of it.
 
-    Children are aligned by the longest common order of equal tags, equal text preferred; the
-    aligned pairs are matched in turn, so the work is one table per pair of aligned parents.
+    ``low`` is the depth of the deepest dropped element around it, 0 without one.
     """
-    todo = [(a, b)]
-    while todo:
-        a, b = todo.pop()
-        x, y = a.kids, b.kids
-        while x and y and x[0].tag == y[0].tag and x[0].text == y[0].text:
-            pair(x[0], y[0], constant, todo)
-            x, y = x[1:], y[1:]
-        while x and y and x[-1].tag == y[-1].tag and x[-1].text == y[-1].text:
-            pair(x[-1], y[-1], constant, todo)
-            x, y = x[:-1], y[:-1]
-        if not x or not y or len(x) * len(y) > WIDEST * WIDEST:
-            continue
-        width = len(y) + 1
-        best = [[0] * width for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            row, below, u = best[i], best[i + 1], x[i]
-            for j in range(len(y) - 1, -1, -1):
-                v = y[j]
-                score = below[j] if below[j] >= row[j + 1] else row[j + 1]
-                if u.tag == v.tag:
-                    both = below[j + 1] + (1 if u.text != v.text else 2)
-                    if both > score:
-                        score = both
-                row[j] = score
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if best[i][j] == best[i + 1][j]:
-                i += 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
-            else:
-                pair(x[i], y[j], constant, todo)
-                i, j = i + 1, j + 1
-
-
-def pair(u: Node, v: Node, constant: set[int], todo: list) -> None:
-    if u.text is not None:
-        if u.text == v.text:
-            constant.add(id(u))
-    elif u.kids and v.kids:
-        todo.append((u, v))
-
-
-def blocks(root: Node) -> list[tuple[str, bool, bool, bool, list[int], int]]:
-    """Blocks in page order: text, in a main part, prose, dropped, its text nodes, characters inside links."""
-    out, now = [], {"parts": [], "ids": [], "link": 0}
-
-    def flush(main, prose, dropped):
-        text = plain("".join(now["parts"]))
+
+    __slots__ = ("text", "key", "path", "main", "prose", "hidden", "low", "link")
+
+    def __init__(self, text, tags, path, main, prose, hidden, low, link):
+        self.text, self.path, self.main, self.prose, self.hidden, self.low, self.link = text, path, main, prose, hidden, low, link
+        digest = hashlib.blake2b(f"{'/'.join(tags)} {text}".encode("utf-8", "replace"), digest_size=8).digest()
+        self.key = int.from_bytes(digest, "big", signed=True)
+
+
+def blocks(root: Node) -> list[Block]:
+    """Blocks in page order. A path ends above the first prose element; a marked part and a dropped one show in its names."""
+    out, parts, links = [], [], 0
+
+    def flush(state):
+        nonlocal links
+        text = plain("".join(parts))
         if text:
-            out.append((text, main, prose, dropped, now["ids"], now["link"]))
-        now["parts"], now["ids"], now["link"] = [], [], 0
+            tags, path, main, prose, hidden, low, _ = state
+            out.append(Block(text, tags, path, main, prose, hidden, low, links))
+        parts.clear()
+        links = 0
 
-    todo = [("in", root, False, False, False, False)]
+    start = ((), (), False, False, False, 0, False)
+    todo = [("in", root, start)]
     while todo:
-        step, node, main, prose, dropped, link = todo.pop()
+        step, node, state = todo.pop()
         if step == "out":
-            flush(main, prose, dropped)
+            flush(state)
             continue
+        tags, path, main, prose, hidden, low, link = state
         if node.text is not None:
-            now["parts"].append(node.text)
-            now["ids"].append(id(node))
-            now["link"] += len(node.text.strip()) if link else 0
+            parts.append(node.text)
+            links += len(node.text.strip()) if link else 0
             continue
         if node.tag == "br":
-            now["parts"].append(" ")
+            parts.append(" ")
             continue
-        block = node.tag in BLOCKS or node.tag in DROPPED or node.dropped and not dropped
+        dropped = node.dropped or (node.tag == "header" and not main)
+        block = node.tag in BLOCKS or node.tag in DROPPED or node.dropped and not low
         if block:
-            flush(main, prose, dropped)
+            flush(state)
+            tags = (*tags, node.tag)
+            inside = prose or node.tag in PROSE
+            if not inside:
+                path = (*path, node.name + "*" * node.main + "!" * dropped)
+            low = len(path) + inside if dropped else low
+        elif dropped:
+            low = len(path) + 1
         inner = (
-            main or node.main, node.tag in PROSE or prose and node.tag not in ("div", "section", "aside"),
-            dropped or node.dropped or (node.tag == "header" and not main), link or node.tag == "a",
+            tags, path, main or node.main, node.tag in PROSE or prose and node.tag not in ("div", "section", "aside"),
+            hidden or node.tag in HIDDEN, low, link or node.tag == "a",
         )
         if block:
-            todo.append(("out", node, *inner[:3], False))
+            todo.append(("out", node, inner))
         for kid in reversed(node.kids):
-            todo.append(("in", kid, *inner))
-    flush(False, False, False)
+            todo.append(("in", kid, inner))
+    flush(start)
     return out
 
 
-def main_text(page: Node, references: list[Node]) -> str:
-    """The page's main text, by its markup and what its references share with it."""
-    found = blocks(page)
-    marked = any(b[1] and not b[3] for b in found)
-    own = [(len(b[0]), b[4]) for b in found if not b[3] and b[1] == marked]
-    size = sum(n for n, _ in own)
-    template: set[int] = set()
-    for reference in references:
-        constant: set[int] = set()
-        match(page, reference, constant)
-        if sum(n for n, ids in own if constant.issuperset(ids)) < SAME_ARTICLE * size:
-            template |= constant
+def by_markup(found: list[Block], constant: set[int]) -> list[Block]:
+    """What the markup calls main text; without a marked part, what is neither constant nor links."""
+    seen = [b for b in found if not b.hidden and not b.low]
+    marked = [b for b in seen if b.main]
+    return marked or [b for b in seen if b.key not in constant and b.link <= 0.5 * len(b.text)]
+
+
+def main_text(found: list[Block], pages: int, shared: dict[int, int], region: str | None) -> str:
+    """The page's main text, by what ``pages`` pages of its host share and where they vary.
+
+    ``shared`` has the number of pages of each constant block, ``region`` the path of the element that holds the content.
+    """
+    if pages < SURE:
+        own = by_markup(found, set())
+        if sum(len(b.text) for b in own if b.key in shared) >= SAME_ARTICLE * sum(len(b.text) for b in own):
+            return "\n".join(b.text for b in own)
+    at = tuple(region.split("/")) if region else ()
+    here = [b for b in found if not b.hidden and b.path[:len(at)] == at and b.low <= len(at)]
+    here = [b for b in here if b.main] or here
     kept = []
-    for text, main, prose, dropped, ids, link in found:
-        if dropped or marked and not main:
-            continue
-        fixed = all(i in template for i in ids)
-        if marked:
-            if fixed and not prose:
-                continue
-        elif fixed or link > 0.5 * len(text):
-            continue
-        kept.append(text)
-    return "\n".join(kept)
+    for b in here:
+        sure = b.main and b.prose
+        if shared.get(b.key, 0) < (SURE if sure else 2) and (sure or b.link <= 0.5 * len(b.text)):
+            kept.append(b)
+    return "\n".join(b.text for b in kept or by_markup(found, set(shared)))
+
 
+def templates(rows: DataFrame) -> DataFrame:
+    """``host, pages, keys, counts, region``: different pages of a host, its constant blocks, and the path of its content."""
 
-def extract(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            hosts, contents, keys, paths, chars = [], [], [], [], []
+            for host, content, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen = {b.key: b for b in blocks(parse(html)) if not b.hidden}
+                for key, path, n in [(0, None, 0), *((k, "/".join(b.path), max(0, len(b.text) - b.link)) for k, b in seen.items())]:
+                    hosts.append(host)
+                    contents.append(content)
+                    keys.append(key)
+                    paths.append(path)
+                    chars.append(n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(chars, pa.int64()),
+            ], ["host", "content", "key", "path", "chars"])
+
+    per_page = rows.filter("html <> ''").select("host", "content", "html").mapInArrow(
+        run, "host string, content long, key long, path string, chars long").distinct()
+    # a row without path is the page itself
+    blocks_of = settle(
+        per_page.groupBy("host", "key", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        .groupBy("host", "key").agg(F.sum("n").alias("n"), F.min("path").alias("path"), F.sum("chars").alias("chars")), "page-blocks")
+    hosts = blocks_of.filter("path is null").select(F.col("host").alias("h"), F.col("n").alias("pages")).filter("pages > 1")
+    known = blocks_of.filter("path is not null").join(hosts, F.col("host") == F.col("h"))
+    fixed = (F.col("n") > 1) & (F.col("n") > MOST * F.col("pages"))
+    constant = known.filter(fixed).groupBy("host").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("counts"))
+    varying = known.filter(~fixed & (F.col("chars") > 0)).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    names = F.split("path", "/")
+    # every element above a block, from the root to the first marked part
+    stop = F.array_position(F.transform(names, lambda x: F.contains(x, F.lit("*"))), True)
+    deep = F.when(stop > 0, stop).otherwise(F.size(names)).cast("int")
+    ups = varying.select("host", "chars", F.contains("path", F.lit("!")).alias("dropped"), F.explode(
+        F.transform(F.sequence(F.lit(0), deep), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(names, 1, i), "/").alias("path")))).alias("up"))
+    sums = ups.groupBy("host", "up").agg(F.sum("chars").alias("every"), F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("chars"))).alias("plain"))
+    total = sums.filter("up.depth = 0").select(F.col("host").alias("h"), F.col("every").alias("of"), F.col("plain").alias("of_plain"))
+    sums = sums.join(total, F.col("host") == F.col("h"))
+    best = sums.groupBy("host").agg(
+        F.max(F.when(F.col("every") >= HELD * F.col("of"), F.col("up"))).alias("a"),
+        F.max(F.when((F.col("plain") > 0) & (F.col("plain") >= HELD * F.col("of_plain")), F.col("up"))).alias("b"),
+    )
+    region = best.select("host", F.when(F.contains("a.path", F.lit("!")), F.coalesce("b.path", "a.path")).otherwise(F.col("a.path")).alias("region"))
+    return hosts.withColumnRenamed("h", "host").join(constant, "host", "left").join(region, "host", "left")
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("content"))
-    chosen = (
-        rows.filter("html is not null").groupBy("host", F.pmod("content", F.lit(references)).alias("r"))
-        .agg(F.min(F.struct("content", "html")).alias("page"))
-        .groupBy("host").agg(F.collect_list("page").alias("pages"))
-    )
-    joined = rows.join(chosen.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").select(
-        "page_id", "url", "html", "content", "pages.content", "pages.html").toDF("page_id", "url", "html", "content", "others", "sources")
+    known = settle(templates(rows), "templates").withColumnRenamed("host", "h")
+    joined = rows.join(known, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "host", "pages", "keys", "counts", "region")
 
     def run(batches):
-        trees: dict[int, Node] = {}
+        shared: dict[str, dict[int, int]] = {}
         for batch in batches:
             texts = []
-            for html, content, others, sources in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            column = {n: batch.column(i) for i, n in enumerate(("page_id", "url", "html", "host", "pages", "keys", "counts", "region"))}
+            for i, html in enumerate(column["html"].to_pylist()):
                 if not html:
                     texts.append("")
                     continue
-                near = []
-                for key, source in zip(others or (), sources or ()):
-                    if key != content:
-                        if key not in trees:
-                            if len(trees) >= 64:
-                                trees.clear()
-                            trees[key] = parse(source)
-                        near.append(trees[key])
-                texts.append(main_text(parse(html), near))
+                name = column["host"][i].as_py()
+                if name not in shared:
+                    if len(shared) >= 64:
+                        shared.clear()
+                    shared[name] = dict(zip(column["keys"][i].as_py() or (), column["counts"][i].as_py() or ()))
+                texts.append(main_text(blocks(parse(html)), column["pages"][i].as_py() or 1, shared[name], column["region"][i].as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string")

@@ -264,6 +264,28 @@ def test_op9_article(spark):
     assert got[20] == got[21] == "" and got[22] == "deep" and got[23] == "plain <text"
 
 
+def test_op9_host_template_decides(spark):
+    story = "Story number {0} of this site tells at length about matter {0} and what became of it."
+    notice = "<p>Read our newsletter every day.</p>"
+    teaser = "<article><p>Teaser {0}</p></article>"
+    pages = [(i, "http://in.example/%d" % i, f"<body><article><h1>Head {i}</h1><p>{story.format(i)}</p>{notice}</article><div class=ad>buy {i}</div></body>") for i in range(8)]
+    # content outside the marked articles
+    pages += [(20 + i, "http://out.example/%d" % i, f"<body>{teaser.format(i)}<div class=text><p>{story.format(i)}</p></div></body>") for i in range(8)]
+    # on most pages, not on those of the smallest hashes alone; a sentence two pages share stays
+    pages += [(40 + i, "http://part.example/%d" % i, f"<body>{'<div>Closed on Monday</div>' if i % 4 else ''}<div><p>{story.format(i)}</p>{'<p>Told by two.</p>' if i < 2 else ''}</div></body>") for i in range(16)]
+    # two pages, and long flat pages
+    pages += [(60 + i, "http://two.example/%d" % i, f"<body><div>Menu of two</div><p>{story.format(i)}</p></body>") for i in range(2)]
+    flat = [f"<p>line {{0}} {k}</p><p>Fixed {k}</p>" for k in range(500)]
+    pages += [(70 + i, "http://wide.example/%d" % i, "<body>" + f"<i>{i}</i><p>{i}</p>" * i + "".join(flat).format(i) + f"<p>{i}</p>" * i + "</body>") for i in range(6)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert all(got[i] == f"Head {i}\n{story.format(i)}" for i in range(8))
+    assert all(got[20 + i] == story.format(i) for i in range(8))
+    assert all(got[40 + i] == story.format(i) + "\nTold by two." * (i < 2) for i in range(16))
+    assert all(got[60 + i] == story.format(i) for i in range(2))
+    assert all("Fixed" not in got[70 + i] and got[70 + i].count(f"line {i} ") == 500 for i in range(6))
+
+
 def plain_components(made, width=5):
     sets = []
     for _, text, *_ in made:
