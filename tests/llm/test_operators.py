@@ -224,6 +224,27 @@ def test_op7_spans_and_disclosing_terms(spark, docs, none):
     assert pii.detect(none).count() == 0
 
 
+def test_op7_terms_anywhere_and_rare_entities(spark):
+    far = " ".join(f"filler{k}" for k in range(40))
+    # the term stands far from the entity, twice, and in a document without it
+    told = [(i, f"note {i} about quibblor and {i * 7} {far} answer {i * 11} goes to far.off@mail.org") for i in range(6)]
+    told += [(20, "here quibblor stands alone")]
+    # each address once, one term for all of them; two contexts of one address
+    told += [(30 + i, f"case {i} the glimmertod {i * 13} of {far} {i * 17} reaches +49 30 12345{i:02d} now") for i in range(6)]
+    told += [(40 + i, f"file {i} on snorvex {i * 19} {far} {i * 23} from 10.1.2.3 sent") for i in range(2)]
+    # copies give no evidence
+    told += [(50 + i, f"{far} wuzzle of {far} at 10.9.9.9 end{' of copy' * (i % 2)}") for i in range(6)]
+    told += [(100 + i, f"note about case the file on of {far} answer goes to reaches now from sent end copy {i}") for i in range(2000)]
+    frame = spark.createDataFrame(told, "doc_id long, text string")
+    text = dict(told)
+    marked = {r.doc_id: {text[r.doc_id][s.a:s.b] for s in r.spans if s.kind == "term"} for r in pii.detect(frame).collect()}
+    assert all("quibblor" in marked[i] for i in (*range(6), 20)) and all("glimmertod" in marked[30 + i] for i in range(6))
+    assert "snorvex" in marked[40] and "snorvex" in marked[41]
+    assert not any("wuzzle" in m or "filler3" in m for m in marked.values()) and not marked[105]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert "quibblor" not in clean[20] and "s***" in clean[40] and "wuzzle" in clean[50]
+
+
 def test_op8_sums_all_segmentations():
     pieces = [b"a", b"b", b"ab", b"ba", b"aba"]
     lattice = langid.Lattice(pieces)
