@@ -7,7 +7,8 @@ distinct count of their sites. A line on ``min_sites`` sites or more is boilerpl
 everywhere but at its first place (smallest id, then line number), so nothing is lost for good.
 
 Defined cases: a null text stays null and has no lines; a null site is a site of its own;
-lines of fewer than ``min_words`` words are left alone; a text without boilerplate is returned
+blank lines are left alone, as are lines of fewer than ``min_words`` words if that is asked
+for; a text without boilerplate is returned
 as it was, byte for byte; repeated rows are judged each for itself, equal rows alike. An empty
 table gives no rows. All columns of the input are kept; those named ``n_lines``, ``n_removed``
 and ``text`` are made anew.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from keepsake.session import settle
 
 MIN_SITES = 5
-MIN_WORDS = 3
+MIN_WORDS = 1
 LOG_K = 12
 SIGMAS = 4
 
@@ -35,7 +36,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("site"),
             F.posexplode(F.split("text", "\n")).alias("at", "line"),
         )
-        .filter(F.size(F.split(line, r"\s+")) >= min_words)
+        .filter(F.col("line").rlike(r"\S") & (F.size(F.split(line, r"\s+")) >= min_words))
         .select("doc_id", "content", "site", "at", F.xxhash64(line).alias("h"))
     )
 

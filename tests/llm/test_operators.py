@@ -130,6 +130,12 @@ def test_op2_boilerplate_lines(spark, docs, none):
     assert line_dedup.drop_boilerplate(docs).count() == len(rows()) and line_dedup.drop_boilerplate(none).count() == 0
 
 
+def test_line_dedup_judges_short_lines(spark):
+    lines = [(i, f"Les.\n\n版权所有不得转载\nAnd ornd.\n\t\nown line {i}", "fr", f"s{i}", 1, False, "n") for i in range(6)]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(lines, DOCS)).collect()}
+    assert got[0].n_removed == 0 and all(got[i].text == f"\n\t\nown line {i}" and got[i].n_removed == 3 for i in range(1, 6))
+
+
 def test_op3_exact(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
