@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontam, html_extract, jaccard, langid, line_dedup, mixing, pii, ppm, quality, topk
-from keepsake.llm.common import held_out, prepare, read
+from keepsake.llm import decontam, html_extract, importance, jaccard, langid, line_dedup, merkle, mixing, packing, pii, ppm, quality, topk
+from keepsake.llm.common import held_out, prepare, read, remainder
+
+TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "word_bpe_49k.json"
+
+# CRC-32 in SQL: a table of 256 registers by rule, then one step a byte.
+CRC_TABLE = """select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+  from range(256) r(i)"""
+CRC = """xor(list_reduce(list_transform(range(len(hex(encode({0}))) // 2), lambda i: ('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2])::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"""
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +135,95 @@ def op7(table):
 @query("op9_main_text")
 def op9(table):
     return html_extract.extract(table("pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def importance_sql() -> str:
+    lower = ASCII_LOWER.format("text")
+    words = rf"coalesce(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    runs = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    return f"""
+with crc as ({CRC_TABLE}
+), d as (select doc_id, {words} w from documents
+), df as (select doc_id, unnest({runs}) f from d
+), bf as (select unnest({runs}) f from (select {words} w from benchmark)
+), hashed as (select f, {CRC.format("f")} % 10000 as b from (select distinct f from (select f from df union all select f from bf)), crc
+), s as (select b, count(*) n from df join hashed using (f) group by b
+), t as (select b, count(*) n from bf join hashed using (f) group by b
+), gain as (select r.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from df) + 10000)
+      / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from bf) + 10000))))::bigint g
+    from range(10000) r(b) left join s using (b) left join t using (b)
+), total as (select doc_id, count(*) n, sum(g) g from df join hashed using (f) join gain using (b) group by doc_id
+), scored as (select d.doc_id, len(w) as n_words, coalesce(n, 0)::bigint as n_features, coalesce(floor(g / n), 0)::bigint as weight,
+      ('0x' || sha256('7:' || d.doc_id)[1:8])::bigint h from d left join total using (doc_id)
+), final as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from scored
+), ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () n from final where n_words >= 20)
+select doc_id, n_features, weight, score, case when r <= 25 * n // 100 then r end as rank from final left join ranked using (doc_id)
+"""
+
+
+@query("op11_importance_sample", importance_sql())
+def op11(table):
+    return importance.resample(table("documents"), table("benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def tree_sql(name: str, leaves: str, depth: int) -> str:
+    """CTEs of the levels of all trees of ``leaves`` (t, pos, n, h), nodes with what stands before and after them in their run."""
+    parts = [f"{name}0 as (select t, pos as p, n, h from {leaves})"]
+    for k in range(depth):
+        parts.append(f"""{name}_side{k} as (select x.t, x.p, coalesce(string_agg(y.h, '' order by y.p) filter (y.p < x.p), '') before,
+      coalesce(string_agg(y.h, '' order by y.p) filter (y.p > x.p), '') after
+    from {name}{k} x join {name}{k} y on x.t = y.t and x.p // 16 = y.p // 16 where x.n > {16 ** k} group by x.t, x.p)""")
+        parts.append(f"""{name}{k + 1} as (select t, p // 16 as p, n, case when n > {16 ** k} then sha256(string_agg(h, '' order by p)) else min(h) end h
+    from {name}{k} group by t, p // 16, n)""")
+    return ",\n  ".join(parts)
+
+
+def folded_sql(node: str, name: str, depth: int) -> str:
+    for k in range(depth):
+        node = f"case when {name}{k}.before is null then {node} else sha256({name}{k}.before || {node} || {name}{k}.after) end"
+    return node
+
+
+def sides_sql(name: str, tree: str, position: str, depth: int) -> str:
+    return "\n  ".join(f"left join {name}_side{k} {name}{k} on {name}{k}.t = {tree} and {name}{k}.p = {position} // {16 ** k}" for k in range(depth))
+
+
+def merkle_sql(depth: int = 6, wide: int = 5) -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+    def proof(name: str, n: int) -> str:
+        return " || ".join(f"coalesce({name}{k}.before || {name}{k}.after, '')" for k in range(n))
+
+    return f"""
+with crc as ({CRC_TABLE}
+), docs as (select doc_id, coalesce('=' || source, '') t, {leaf("text")} h,
+    case when {CRC.format("doc_id::varchar")} % 5 = 0 then {leaf(ASCII_LOWER.format("text"))} end present from documents, crc
+), leaves as (select *, row_number() over (partition by t order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by t) as n from docs
+), {tree_sql("a", "leaves", depth)}
+, subroots as (select t as s, '' as t, h, row_number() over (order by t) - 1 as pos, count(*) over () as n from a{depth}
+), {tree_sql("b", "subroots", wide)}
+, inner_fold as (select l.doc_id, l.h as leaf, l.t, {proof("a", depth)} as proof, {folded_sql("coalesce(l.present, l.h)", "a", depth)} as node
+  from leaves l {sides_sql("a", "l.t", "l.pos", depth)}
+), outer_part as (select s.s, s.h as subroot, (select h from b{wide}) as root, {proof("b", wide)} as proof,
+    [{", ".join(f"b{k}.before" for k in range(wide))}] as before, [{", ".join(f"b{k}.after" for k in range(wide))}] as after
+  from subroots s {sides_sql("b", "''", "s.pos", wide)}
+), done as (select doc_id, leaf, subroot, root, sha256(i.proof || o.proof) as proof_sha256,
+    list_reduce(range(1, {wide + 1}), lambda x, k: case when before[k] is null then x else sha256(before[k] || x || after[k]) end, node) as folded_root
+  from inner_fold i join outer_part o on i.t = o.s)
+select *, folded_root = root as verified from done
+"""
+
+
+@query("op12_merkle_manifest", merkle_sql())
+def op12(table):
+    found = merkle.manifest(table("documents"), remainder("doc_id", 5) == 0)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_pack_sequences")
+def op13(table):
+    cut = packing.pieces(table("documents"), f"{TOKENIZERS}/{VOCABULARY}")
+    slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(slim)
