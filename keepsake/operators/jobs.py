@@ -16,8 +16,6 @@ AUTO_COMMENT = "auto added dump job"
 SERVER_RESTORE_COMMENT = "generated server restore job"
 MAX_PARALLEL_RESTORE = 2
 START_TYPES = ("CRON", "SINGLE", "TRIGGER")
-# Rows of one job that a single task may have to sort.
-TASK_ROWS = 1_000_000
 
 
 def dumpjob_defaults(new_jobs: DataFrame, instance: DataFrame, seed: Column) -> DataFrame:
@@ -181,33 +179,58 @@ def latest_dump_join(latest: DataFrame, catalog: DataFrame) -> DataFrame:
     return catalog.join(ids, F.col("id") == F.col("cat_id")).drop("cat_id")
 
 
-def status_changes(history: DataFrame, bucket: str = "hour", task_rows: int = TASK_ROWS) -> DataFrame:
+def _compared(batches):
+    """Changes inside one range of rows that are in order, and the first and the last row of the range."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        whole = table if last is None else pa.concat_tables([last, table])
+        before, after = whole.slice(0, whole.num_rows - 1), whole.slice(1)
+        same = pc.equal(before["job_id"], after["job_id"])
+        changed = pc.fill_null(pc.and_(same, pc.not_equal(before["status"], after["status"])), False)
+        found = after.append_column("old_status", before["status"]).append_column("place", pa.array([1] * after.num_rows, pa.int8())).filter(changed)
+        if last is None:
+            found = pa.concat_tables([_edge(table.slice(0, 1), 0), found])
+        yield from found.to_batches()
+        last = table.slice(table.num_rows - 1)
+    if last is not None:
+        yield from _edge(last, 2).to_batches()
+
+
+def _edge(row, place: int):
+    import pyarrow as pa
+
+    return row.append_column("old_status", pa.array([None], pa.string())).append_column("place", pa.array([place], pa.int8()))
+
+
+def status_changes(history: DataFrame) -> DataFrame:
     """(job_id, at, event_id, old_status, status) wherever a job's status differs from the one before.
 
     ``history(job_id, at, event_id, status)``. Null on either side is no change.
 
-    A job with more than ``task_rows`` rows is compared bucket by bucket of time, so that
-    it spreads over tasks; then the first row of each bucket is compared with the last
-    row of the job's bucket before. All other jobs need no second step. The list of such
-    jobs is written down first, so that a short one is matched without a shuffle.
+    The rows are cut into even ranges of (job, at, event), so that any number of rows of one job,
+    in one hour too, spreads over tasks. A range is compared row by row as it passes, and the
+    first row of each range with the last row of the range before it: two rows a range.
     """
-    known = history.select("job_id", "at", "event_id", "status").filter(F.col("job_id").isNotNull())
-    sizes = known.groupBy(F.col("job_id").alias("hot_job")).agg(F.count(F.lit(1)).alias("n"))
-    hot = settle(sizes.filter(F.col("n") > task_rows).select("hot_job"), "hot-jobs")
-    part = F.date_trunc(bucket, "at").cast("timestamp_ntz")
-    rows = known.join(hot, F.col("job_id") == F.col("hot_job"), "left").withColumn(
-        "bucket", F.when(F.col("hot_job").isNotNull(), part)
-    )
-    order = Window.partitionBy("job_id", "bucket").orderBy("at", "event_id")
-    inside = rows.withColumn("old_status", F.lag("status").over(order)).filter(F.col("status") != F.col("old_status"))
-
-    ends = known.join(hot, F.col("job_id") == F.col("hot_job"), "left_semi").groupBy("job_id", part.alias("bucket")).agg(
-        F.min(F.struct("at", "event_id", "status")).alias("first"), F.max(F.struct("at", "event_id", "status")).alias("last")
-    )
-    by_job = Window.partitionBy("job_id").orderBy("bucket")
-    between = ends.withColumn("old_status", F.lag("last.status").over(by_job)).filter(F.col("first.status") != F.col("old_status"))
-    columns = ["job_id", "at", "event_id", "old_status", "status"]
-    return inside.select(*columns).unionByName(between.select("job_id", "first.*", "old_status").select(*columns))
+    columns = ["job_id", "at", "event_id", "status"]
+    order = ["job_id", "at", "event_id", "status"]
+    known = history.select(*columns).filter(F.col("job_id").isNotNull())
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema.fields)
+    ranged = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    compared = ranged.mapInArrow(_compared, f"{kind}, old_status string, place byte")
+    found = settle(compared.withColumn("part", F.spark_partition_id()), "status-ranges")
+    # two rows a range
+    edges = found.filter("place <> 1")
+    before = Window.orderBy("part", "place")
+    crossing = edges.withColumn("old_job", F.lag("job_id").over(before)).withColumn("old_status", F.lag("status").over(before)).filter(
+        (F.col("place") == 0) & (F.col("old_job") == F.col("job_id")) & (F.col("old_status") != F.col("status")))
+    out = ["job_id", "at", "event_id", "old_status", "status"]
+    return found.filter("place = 1").select(*out).unionByName(crossing.select(*out))
 
 
 def status_messages(changes: DataFrame, dumpjob: DataFrame, instance: DataFrame) -> DataFrame:

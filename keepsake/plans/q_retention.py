@@ -136,7 +136,14 @@ def _sample(m):
     return vf.verify_sample(m.catalog, 25, "42").select("id", "bu_name")
 
 
-MANIFEST = """select dump_id, count(*) as row_count, cast(sum(cast('0x' || substr(md5(cast(file_id as string) || '|' || checksum || '|' || cast(size as string)), 1, 8) as bigint)) as string) as content from {} group by dump_id"""
+def digest_sql(columns: list[str]) -> str:
+    """The four numbers of a row: md5 over its values with their lengths in front, null as ``-``."""
+    row = " || ".join(f"coalesce(length(cast({c} as string)) || ':' || cast({c} as string), '-')" for c in columns)
+    return ", ".join(f"sum(cast('0x' || substr(md5({row}), {k}, 8) as bigint)) as part{i}" for i, k in enumerate((1, 9, 17, 25)))
+
+
+FILE_COLUMNS = ["file_id", "checksum", "size"]
+MANIFEST = f"select dump_id, count(*) as row_count, part0 || '-' || part1 || '-' || part2 || '-' || part3 as content from (select dump_id, {digest_sql(FILE_COLUMNS)} from {{0}} group by dump_id) join {{0}} using (dump_id) group by all"
 ALTERED = "(select file_id, dump_id, case when size % 50 = 7 then md5(checksum) else checksum end as checksum, size from fx_file)"
 
 
@@ -146,12 +153,40 @@ def altered(files):
 
 
 @query("verify_snapshot", f"""with a as ({MANIFEST.format('fx_file')}), b as ({MANIFEST.format(ALTERED)})
-select a.dump_id, a.row_count = b.row_count and a.content = b.content as ok from a join b on a.dump_id = b.dump_id""")
+select a.dump_id, a.row_count = b.row_count and a.content = b.content as ok from a join b on a.dump_id is not distinct from b.dump_id""")
 def _verify(m):
-    cols = ["file_id", "checksum", "size"]
     files = m.written("file")
-    manifest = vf.fingerprint(files, "dump_id", cols, portable=True)
-    return vf.verify_snapshot(manifest, vf.fingerprint(altered(files), "dump_id", cols, portable=True), "dump_id")
+    manifest = vf.fingerprint(files, "dump_id", FILE_COLUMNS, portable=True)
+    return vf.verify_snapshot(manifest, vf.fingerprint(altered(files), "dump_id", FILE_COLUMNS, portable=True), "dump_id")
+
+
+LEAVES = 256
+DISK = "(select file_id, dump_id, case when size % 997 = 7 then md5(checksum) else checksum end as checksum, size from fx_file where file_id % 401 <> 3)"
+
+
+@query("verify_ranges", f"""with edge as (select min(file_id) as lo, max(file_id) - min(file_id) + 1 as n from fx_file),
+a as (select (file_id - lo) * {LEAVES} // n as leaf, count(*) as row_count, {digest_sql(FILE_COLUMNS)} from fx_file, edge group by 1),
+b as (select (file_id - lo) * {LEAVES} // n as leaf, count(*) as found_count, {digest_sql(FILE_COLUMNS)} from {DISK}, edge group by 1)
+select cast(a.leaf as bigint) as leaf, cast(lo + (a.leaf * n + {LEAVES} - 1) // {LEAVES} as bigint) as first_key, cast(lo + ((a.leaf + 1) * n + {LEAVES} - 1) // {LEAVES} - 1 as bigint) as last_key,
+  row_count, coalesce(found_count, 0) as found_count
+from a left join b on a.leaf = b.leaf, edge
+where b.leaf is null or row_count <> found_count or a.part0 <> b.part0 or a.part1 <> b.part1 or a.part2 <> b.part2 or a.part3 <> b.part3""")
+def _ranges(m):
+    files = m.written("file")
+    low, high = vf.key_ranges(files, "file_id")
+    disk = files.withColumn("checksum", F.when(F.col("size") % 997 == 7, F.md5("checksum")).otherwise(F.col("checksum"))).filter("file_id % 401 <> 3")
+    sums = [vf.range_sums(df, "file_id", FILE_COLUMNS, low, high, LEAVES, portable=True) for df in (files, disk)]
+    return vf.damaged_ranges(*sums, low, high, LEAVES)
+
+
+@query("verify_rows", f"""select e.file_id, case when d.file_id is null then 'missing' else 'changed' end as problem
+from fx_file e left join {DISK} d using (file_id) where d.file_id is null or d.checksum is distinct from e.checksum""")
+def _rows(m):
+    files = m.written("file")
+    low, high = vf.key_ranges(files, "file_id")
+    disk = files.withColumn("checksum", F.when(F.col("size") % 997 == 7, F.md5("checksum")).otherwise(F.col("checksum"))).filter("file_id % 401 <> 3")
+    sums = [vf.range_sums(df, "file_id", FILE_COLUMNS, low, high) for df in (files, disk)]
+    return vf.damaged_rows(files, disk, "file_id", FILE_COLUMNS, vf.damaged_ranges(*sums, low, high), low, high)
 
 
 @query("verify_apply", f"""with a as ({MANIFEST.format('fx_file')}), b as ({MANIFEST.format(ALTERED)}),

@@ -36,26 +36,36 @@ def _logs(m):
 
 
 def in_thirds(df: DataFrame) -> list[DataFrame]:
-    """All rows in three parts by time, for three arrivals."""
+    """All rows in three parts by time, for three arrivals; rows without time come with the first."""
     lo, hi = df.agg(F.min("at"), F.max("at")).first()
+    if lo is None:
+        return [df]
     cuts = [F.lit(str(lo + (hi - lo) * k / 3)).cast("timestamp_ntz") for k in (1, 2)]
-    return [df.filter(F.col("at") < cuts[0]), df.filter((F.col("at") >= cuts[0]) & (F.col("at") < cuts[1])), df.filter(F.col("at") >= cuts[1])]
+    return [
+        df.filter((F.col("at") < cuts[0]) | F.col("at").isNull()),
+        df.filter((F.col("at") >= cuts[0]) & (F.col("at") < cuts[1])), df.filter(F.col("at") >= cuts[1]),
+    ]
+
+
+def arrive(m, rows: DataFrame, schema: str, start) -> tuple[str, str]:
+    """Run a stream over three arrivals, stopped after each, and once more when the clock has passed all; (out, checkpoint)."""
+    source, out, mark = (work_dir(m.spark, n) for n in ("arriving", "streamed", "checkpoint"))
+    for k, part in enumerate(in_thirds(rows)):
+        part.write.parquet(f"{source}/{k}")
+        start(m.spark, source, out, mark).awaitTermination()
+    states.advance(m.spark, source, F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"), schema)
+    start(m.spark, source, out, mark).awaitTermination()
+    return out, mark
 
 
 @query("stream_status_changes", """select job_id, "at", event_id, old_status, status from (
   select *, lag(status) over (partition by job_id order by "at", event_id) as old_status from fx_status) where status <> old_status""")
 def _status(m):
-    source, out, mark = (work_dir(m.spark, n) for n in ("status", "status-out", "checkpoint"))
-    for k, part in enumerate(in_thirds(m.status)):
-        part.write.parquet(f"{source}/{k}")
-        states.stream_status_changes(m.spark, source, out, mark).awaitTermination()
-    return m.spark.read.parquet(f"{out}/changes").drop("batch_id")
+    out, _ = arrive(m, m.status, states.STATUS_SCHEMA, states.stream_status_changes)
+    return states.changes_of(m.spark, out)
 
 
 @query("stream_activity", RUNNING)
 def _activity(m):
-    source, out, mark = (work_dir(m.spark, n) for n in ("activity", "activity-out", "checkpoint"))
-    for k, part in enumerate(in_thirds(m.activity)):
-        part.write.parquet(f"{source}/{k}")
-        states.stream_activity(m.spark, source, out, mark).awaitTermination()
-    return states.latest_state(m.spark, out, states.RUNNING_SCHEMA)
+    _, mark = arrive(m, m.activity, states.ACTIVITY_SCHEMA, states.stream_activity)
+    return states.open_runs(m.spark, mark)

@@ -123,10 +123,8 @@ def _chosen(databases: dict[str, Tables], job: DumpJob) -> list[tuple[str, str,
 def _write_table(df: DataFrame, path: str) -> tuple[int, str]:
     """Write rows; their number and content checksum are gathered on the way."""
     seen = Observation(uuid.uuid4().hex)
-    hashed = verify.row_hash(df, df.columns)
-    df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(hashed).cast("string"), F.lit("0")).alias("content")
-    ).write.parquet(path)
+    content = verify.content(verify.content_parts(df, df.columns))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), content.alias("content")).write.parquet(path)
     return int(seen.get["rows"]), str(seen.get["content"])
 
 
@@ -275,10 +273,7 @@ def check_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
         if e["path"] is None:
             continue
         df = read_table(spark, snapshot, e)
-        found = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(verify.row_hash(df, df.columns)).cast("string"), F.lit("0")).alias("c"),
-        )
+        found = df.agg(F.count(F.lit(1)).alias("n"), verify.content(verify.content_parts(df, df.columns)).alias("c"))
         parts.append(found.select(
             F.lit(f"{e['schema_name']}.{e['table_name']}").alias("table_name"),
             ((F.col("n") == e["row_count"]) & (F.col("c") == e["content"])).alias("ok"),

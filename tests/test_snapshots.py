@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.sources import snapshots as sn, textfiles as tf
-from keepsake.streaming import states, uploads
+from keepsake.streaming import uploads
 
 START = dt.datetime(2024, 1, 5, 10, 15)
 
@@ -154,20 +154,6 @@ def test_stream_upload_counts_each_file_once(spark, tmp_path):
     assert sorted(r["reason"] for r in rejects) == ["format", "target", "value"]
 
 
-def test_activity_state_over_batches(spark, tmp_path):
-    src, out, mark = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "mark")
-    t = START
-
-    def put(rows):
-        spark.createDataFrame(rows, states.ACTIVITY_SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        states.stream_activity(spark, src, out, mark).awaitTermination()
-        return sorted((r["worker_id"], r["process_id"]) for r in states.latest_state(spark, out, states.RUNNING_SCHEMA).collect())
-
-    assert put([(1, t, 1, 10, "START"), (2, t, 1, 11, "START"), (3, t, 2, 10, "START"), (4, t, 2, 10, "END")]) == [(1, 10), (1, 11)]
-    assert put([(5, t, 1, 10, "END"), (6, t, 2, 10, "START")]) == [(1, 11), (2, 10)]
-    assert put([(7, t, 9, 9, "END")]) == [(1, 11), (2, 10)]
-
-
 def test_data_restores_are_planned_direct(spark):
     from keepsake.operators import jobs
 
@@ -186,4 +172,4 @@ def test_row_hash_sees_nulls_change_places(spark):
     from keepsake.operators import verify
 
     df = spark.createDataFrame([(None, 5), (5, None)], "a int, b int")
-    assert df.select(verify.row_hash(df, ["a", "b"]).alias("h")).distinct().count() == 2
+    assert df.select(verify.content_parts(df, ["a", "b"])[0].alias("h")).distinct().count() == 2
