@@ -14,8 +14,10 @@ were dealt to at random when they were written, after the pieces of the buckets
 the plan that holds the rank says sequence and place. No length, bucket or document, hot or not, is
 one task.
 
-Words repeat, so a task asks the tokenizer about each distinct word only once (``by_word``; right for
-tokenizers that never let a token cross white space, as the named one does).
+Words repeat, so a task tokenises each distinct word only once (``by_word``). That is right for the named
+tokenizer, which lets no token cross white space, and cuts plain ASCII words into runs of letters, single
+digits and runs of marks before its model sees them; words with other characters go through it whole.
+For other tokenizers, ``by_word=False`` tokenises text by text.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids are packed each; long
 texts are cut, never dropped; an empty table gives no rows. Other columns are not read.
@@ -23,6 +25,8 @@ texts are cut, never dropped; an empty table gives no rows. Other columns are no
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +38,21 @@ from keepsake.session import settle
 
 CAPACITY, END_ID = 2048, 0
 BUCKET_ROWS = 250_000
-CHUNK, BATCH_TOKENS, KNOWN_WORDS = 4 << 20, 8 << 20, 300_000
+CHUNK, BATCH_TOKENS, KNOWN_UNITS, AT_ONCE = 1 << 20, 4 << 20, 200_000, 4096
+
+
+
+# Bytes of a word: 0 letters, 1 digits, 2 other plain marks; 3 whatever only the tokenizer itself may cut.
+KIND = np.array([3 if not 0x21 <= b <= 0x7E or chr(b) in "'|" else 0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
+HARD = tb.table_of(lambda b: KIND[b] == 3)
+
 
+class Units:
+    """Token ids of units, each tokenised once; the memory is emptied when it holds too many.
 
-class Words:
-    """Token ids of words, each word tokenised once; the memory is emptied when it holds too many."""
+    A unit is a word, or, where a word is plain ASCII, the lower-cased run of letters, the digit or
+    the run of marks that the tokenizer would cut it into, which then only needs its model.
+    """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -46,25 +60,29 @@ class Words:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.place: dict[str, int] = {}
+        self.model = self.tokenizer.model
+        self.place: dict[bytes, int] = {}
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > KNOWN_WORDS and self.place:
-            self.place, new = {}, words
+    def learn(self, units: list[bytes]) -> None:
+        hard = re.compile(b"[" + re.escape(bytes(np.flatnonzero(HARD).tolist())) + b"]").search
+        new = [u for u in units if u not in self.place]
+        if len(self.place) + len(new) > KNOWN_UNITS and self.place:
+            self.place, new = {}, units
             self.start, self.length, self.ids = self.start[:0], self.length[:0], self.ids[:0]
-        if not new:
-            return
-        found = self.encode(new)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
-        self.place.update(zip(new, range(len(self.start), len(self.start) + len(new))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-        self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k:k + AT_ONCE]
+            whole = [u for u in some if hard(u)]
+            found = dict(zip(whole, self.encode([u.decode("utf-8", "replace") for u in whole])))
+            ids = [found[u] if u in found else [t.id for t in self.model.tokenize(u.decode())] for u in some]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.place.update(zip(some, range(len(self.start), len(self.start) + len(some))))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
 
 
 def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -73,16 +91,30 @@ def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
-def tokens_by_word(known: Words, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, each with the end id, and their offsets."""
+def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The units of all texts in order, and the text of each."""
     first, last, owner = tb.words(data, offsets, tb.SOLID)
+    hard = np.concatenate(([0], np.cumsum(HARD[data])))
+    plain = np.repeat(hard[last] == hard[first], last - first)
+    inside = tb.SOLID[data]
+    body = data[inside]
+    kind = KIND[body]
+    begins = np.zeros(len(body), bool)
     size = last - first
-    at = np.concatenate(([0], np.cumsum(size)))
-    words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(data[runs_of(first, size)])).dictionary_encode()
-    distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
-    distinct = [w.decode("utf-8", "replace") for w in distinct]
+    begins[np.cumsum(size) - size] = True
+    begins[1:] |= plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 1))
+    at = np.flatnonzero(begins)
+    body = np.where(plain, tb.LOWER[body], body)
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(body))), pa.py_buffer(body)])
+    return units.dictionary_encode(), np.repeat(owner, size)[at]
+
+
+def tokens_by_word(known: Units, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, each with the end id, and their offsets."""
+    units, owner = units_of(data, offsets)
+    distinct = units.dictionary.to_pylist()
     known.learn(distinct)
-    place = np.fromiter((known.place[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()] if len(first) else np.zeros(0, np.int64)
+    place = np.fromiter((known.place[u] for u in distinct), np.int64, len(distinct))[units.indices.to_numpy()]
     length = known.length[place]
     n = len(offsets) - 1
     per_text = np.bincount(owner, weights=length, minlength=n).astype(np.int64) + 1
@@ -94,7 +126,7 @@ def tokens_by_word(known: Words, data: np.ndarray, offsets: np.ndarray, end: int
     return out, np.concatenate(([0], ends))
 
 
-def tokens_by_text(known: Words, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def tokens_by_text(known: Units, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     at, found = offsets.tolist(), []
     for a, b in zip(at, at[1:]):
         found.append([*known.encode([data[a:b].tobytes().decode("utf-8", "replace")])[0], end])
@@ -112,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        known = Words(model.value)
+        known = Units(model.value)
         for batch in batches:
             data, offsets = tb.utf8(batch.column(1))
             for i, j in tb.chunks(offsets, CHUNK):
