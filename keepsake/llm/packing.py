@@ -25,6 +25,7 @@ texts are cut, never dropped; an empty table gives no rows. Other columns are no
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -55,6 +56,8 @@ class Units:
     """
 
     def __init__(self, model: str):
+        # a task has one core; threads of its own would take those of other tasks, and memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -165,6 +168,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(text[a:b])), pa.array(piece[a:b], pa.int32()), pa.array(start[a:b]), pa.array(length[a:b]), values], schema=schema)
                     a = b
+        # workers serve many tasks: what this one needed is given back
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
