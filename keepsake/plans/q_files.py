@@ -36,10 +36,17 @@ def _tsv(m):
         [("id", "int"), ("bu_name", "string"), ("message", "string"), ("dbsize", "bigint")])])
 
 
-@query("file_inventory", """select 'dump ' || source || '/' || doc_id || '.dat.gz' as path, md5(text) as checksum, cast(strlen(text) as bigint) as size from documents""")
+@query("file_inventory", """select 'dump of ' || source || ' 100%/data' as place, md5(string_agg(text || chr(10), '' order by doc_id)) as checksum,
+  cast(sum(strlen(text) + 1) as bigint) as size from documents group by source""")
 def _inventory(m):
-    path = F.concat(F.lit("dump  \t"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".dat.gz"))
-    return tf.table_inventory(m.documents, path, F.col("text"))
+    """Every document as a line of its source's file, in folders with blanks and ``%`` in their names; the files are then read."""
+    base = work_dir(m.spark, "inventory")
+    docs = m.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("dump  of "), "source", F.lit(" 100%")).alias("at"))
+    for row in docs.select("at").distinct().toLocalIterator():
+        lines = docs.filter(F.col("at") == row["at"]).repartition(1).sortWithinPartitions("doc_id").select("text")
+        lines.write.text(f"{base}/{row['at']}/data")
+    found = tf.file_inventory(m.spark, base, "part-*")
+    return found.select(F.regexp_extract("path", "([^/]+/data)/part-[^/]*$", 1).alias("place"), "checksum", "size")
 
 
 def write_spool(m) -> str:

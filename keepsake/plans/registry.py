@@ -53,5 +53,5 @@ def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def load_all() -> None:
     """Import every module that registers queries."""
     from keepsake.plans import (  # noqa: F401
-        q_audit, q_dedup, q_extract, q_files, q_jobs, q_retention, q_scalars, q_streams, q_views,
+        q_audit, q_dedup, q_extract, q_files, q_home, q_jobs, q_retention, q_scalars, q_streams, q_views,
     )

@@ -189,7 +189,7 @@ def snapshot_write(
             sized = relations if job.dumpschema == "*" else relations.filter(F.col("table_schema") == job.dumpschema)
             dbsize = sizes.size_total(sized).first()[0]
     except Exception as problem:  # any failure of the dump is a FAILED catalog row
-        status, message, dbsize, dumpsize = "FAILED", f"job id {job.id} - {problem}".splitlines()[0], -1, -1
+        status, message, dbsize, dumpsize = "FAILED", f"job id {job.id} - {problem}", -1, -1
     row = (
         None, job.id, start, end or start, status, name, folder, dbsize, dumpsize, job.dbname, job.dumpschema,
         job.dumptype, "NO", "AUTO", "", spark.version, job.worker_id, message, job.pgsql_dns_name, job.pgsql_port,
@@ -202,9 +202,11 @@ def _entries(spark: SparkSession, snapshot: str) -> list:
     return list(read_manifest(spark, snapshot).orderBy("dbname", "schema_name", "table_name").toLocalIterator())
 
 
-def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Restored:
+def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob, reader=read_table) -> Restored:
     """Restore tables to ``<dest_root>/<dest_dbname>/<schema>.<table>``.
 
+    ``reader(spark, snapshot, entry)`` gives a table's rows; snapshots in a store have their own.
+
     A whole-database restore is staged beside the destination and moved in place when it
     is complete. A restore of data only, of one schema, or of a one-schema dump goes
     straight into the destination; a dump of all databases goes to their own names.
@@ -228,7 +230,7 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
         if not direct:
             staged = place = f"{job.dest_root}/.{job.dest_dbname}.{uuid.uuid4().hex}"
         for e in entries:
-            rows = read_table(spark, snapshot, e)
+            rows = reader(spark, snapshot, e)
             if job.restoretype == "SCHEMA":
                 rows = spark.createDataFrame([], rows.schema)
             mode = "errorifexists"
@@ -246,13 +248,13 @@ def snapshot_restore(spark: SparkSession, snapshot: str, job: RestoreJob) -> Res
     except Exception as problem:  # any failure of the restore is an ERROR log row
         if staged:
             folders.drop(spark, staged)
-        return Restored(job, "ERROR", str(problem).splitlines()[0], target)
+        return Restored(job, "ERROR", str(problem), target)
     return Restored(job, "COMPLETED", f"restored dump of {snapshot.rstrip('/').split('/')[-1]} -> {target}", target)
 
 
-def snapshot_copy(spark: SparkSession, snapshot: str, jobs: list[RestoreJob]) -> list[Restored]:
+def snapshot_copy(spark: SparkSession, snapshot: str, jobs: list[RestoreJob], reader=read_table) -> list[Restored]:
     """One snapshot into several destinations, in the given order."""
-    return [snapshot_restore(spark, snapshot, job) for job in jobs]
+    return [snapshot_restore(spark, snapshot, job, reader) for job in jobs]
 
 
 def restore_log(spark: SparkSession, results: list[Restored], snapshot: str, start: dt.datetime, end: dt.datetime, worker_id: int = 0) -> DataFrame:

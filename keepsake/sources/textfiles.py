@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from keepsake.functions import scalars as s
 from keepsake.operators import audit
-from keepsake.sources import folders
+from keepsake.sources import folders, taskfiles
 from keepsake.sources.schemas import schema_of
 
 # Column order of the upload formats.
@@ -21,9 +21,6 @@ CATALOG_FIELDS = [
 TARGETS = {"message": MESSAGE_FIELDS, "catalog": CATALOG_FIELDS}
 # Fixed value: ending of dump data files.
 DATA_FILES = "*.dat.gz"
-# Largest file that is read as one row, and the piece size beyond that.
-ROW_BYTES = 256 * 1024 * 1024
-PIECE_BYTES = 8 * 1024 * 1024
 # A spool entry is a file, or a folder that Spark wrote, named ``<anything>.<target>.dat``.
 SPOOL_PATTERN = r"\.([^./]+)\.dat(?:/[^/]*)?$"
 
@@ -63,39 +60,13 @@ def export_tsv(df: DataFrame, path: str) -> None:
     header.unionByName(df.select(F.concat_ws("\t", *values).alias("value"))).write.text(path)
 
 
-def _stream_md5(batches):
-    """md5 of files too large for one row, read in pieces inside the task."""
-    import hashlib
-
-    from pyarrow import fs
-
-    for pdf in batches:
-        sums = []
-        for path in pdf["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            digest = hashlib.md5()
-            with system.open_input_stream(inner, compression=None) as stream:
-                while piece := stream.read(PIECE_BYTES):
-                    digest.update(piece)
-            sums.append(digest.hexdigest())
-        yield pdf.assign(checksum=sums)[["path", "checksum", "size"]]
-
-
-def file_inventory(
-    spark: SparkSession, path: str, pattern: str = DATA_FILES, row_bytes: int = ROW_BYTES
-) -> DataFrame:
+def file_inventory(spark: SparkSession, path: str, pattern: str = DATA_FILES) -> DataFrame:
     """(path, checksum, size) of the data files below a folder.
 
-    Files of up to ``row_bytes`` are hashed in the JVM as one row. Larger ones are only
-    listed there, and their md5 is taken piece by piece; a task never holds such a file.
+    The session lists the files; tasks stream them, so a file of any size takes the memory of a piece.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    )
-    small = files.filter(F.col("length") <= row_bytes).select("path", F.md5("content").alias("checksum"), F.col("length").alias("size"))
-    large = files.filter(F.col("length") > row_bytes).select("path", F.col("length").alias("size"))
-    hashed = large.mapInPandas(_stream_md5, "path string, checksum string, size bigint")
-    return small.unionByName(hashed).withColumn("path", F.regexp_replace("path", r"\s+", " "))
+    found = taskfiles.checksums(taskfiles.listing(spark, path, pattern))
+    return found.withColumn("path", F.regexp_replace("path", r"\s+", " "))
 
 
 def table_inventory(df: DataFrame, path: Column, content: Column) -> DataFrame:

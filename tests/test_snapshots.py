@@ -120,13 +120,34 @@ def test_pipe_and_tsv(spark, tmp_path):
     assert {r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()} >= {"id\tt\tb", "2\tNone\tNone"}
 
 
-def test_file_inventory(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "1.dat.gz").write_bytes(b"hello")
+def test_file_inventory(spark, tmp_path, monkeypatch):
+    from keepsake.sources import taskfiles
+
+    monkeypatch.setattr(taskfiles, "PIECE_BYTES", 2)
+    for folder in ("d", "with  blank", "100%20 per%", "ümlaut#?"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.dat.gz").write_bytes(b"hello")
+    (tmp_path / "d" / "empty.dat.gz").write_bytes(b"")
     (tmp_path / "d" / "toc.dat").write_bytes(b"skip")
-    for limit in (tf.ROW_BYTES, 2):  # as one row, and piece by piece
-        rows = tf.file_inventory(spark, str(tmp_path), row_bytes=limit).collect()
-        assert [(r["checksum"], r["size"]) for r in rows] == [("5d41402abc4b2a76b9719d911017c592", 5)]
+    rows = tf.file_inventory(spark, str(tmp_path)).collect()
+    assert sorted((r["checksum"], r["size"]) for r in rows) == [("5d41402abc4b2a76b9719d911017c592", 5)] * 4 + [("d41d8cd98f00b204e9800998ecf8427e", 0)]
+    assert any("/with blank/" in r["path"] for r in rows) and any("/100%20 per%/" in r["path"] for r in rows)
+
+
+def test_files_of_other_stores_are_looked_up_by_their_store(monkeypatch):
+    import io
+    import types
+
+    import pyarrow.fs
+
+    from keepsake.sources import taskfiles
+
+    seen = []
+    system = types.SimpleNamespace(open_input_stream=lambda name, compression=None: (seen.append(name), io.BytesIO(b"abc"))[1])
+    found = types.SimpleNamespace(from_uri=lambda uri: (seen.append(uri), (system, uri.split("://")[1]))[1])
+    monkeypatch.setattr(pyarrow.fs, "FileSystem", found)
+    assert b"".join(taskfiles.pieces("s3a://bucket/a b/100%.dat.gz")) == b"abc"
+    assert seen == ["s3://bucket/", "bucket/a b/100%.dat.gz"]
 
 
 GOOD = "20240101T000000+0100\tINFO\ttool\ttext\tDUMP\t-1\t4"
