@@ -119,35 +119,34 @@ def check_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(t, df) for t, df in tables.items()])
 
 
-def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """(fk_key): non-null key values that have no parent; distinct values only are moved."""
-    keys = child.select(F.col(column).cast("bigint").alias("fk_key")).filter(F.col("fk_key").isNotNull()).distinct()
-    parents = parent.select(F.col("id").cast("bigint").alias("fk_parent"))
-    return keys.join(parents, F.col("fk_key") == F.col("fk_parent"), "left_anti")
+def references(tables: dict[str, DataFrame], keys=FOREIGN_KEYS) -> DataFrame:
+    """(table_name, key_column, parent, id, value) of every reference that is not null: one pass over each child."""
+    parts = []
+    for child in dict.fromkeys(t for t, _, _ in keys):
+        own = F.array(*[
+            F.struct(F.lit(c).alias("key_column"), F.lit(p).alias("parent"), F.col(c).cast("bigint").alias("value")) for t, c, p in keys if t == child])
+        rows = tables[child].select(F.lit(child).alias("table_name"), F.col("id").cast("bigint").alias("id"), F.explode(own).alias("r"))
+        parts.append(rows.select("table_name", "r.key_column", "r.parent", "id", "r.value").filter(F.col("value").isNotNull()))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fk_audit(tables: dict[str, DataFrame], keys=FOREIGN_KEYS) -> DataFrame:
     """(table_name, key_column, id, value) of every dangling reference.
 
-    The missing values of all keys are found and written down first. The child rows are
-    then matched against them only, and as there are few as a rule, without a shuffle;
-    a key value that fills a third of a child never moves as a group.
+    The distinct values of all keys are held against the ids of all parents at once, each child
+    and each parent read one time, and what is missing is written down. The references are then
+    matched against that only, and as there is little as a rule, without a shuffle; a key value
+    that fills a third of a child never moves as a group.
     """
+    refs = references(tables, keys)
+    parents = reduce(DataFrame.unionByName, [
+        tables[p].select(F.lit(p).alias("p_name"), F.col("id").cast("bigint").alias("p_id")) for p in dict.fromkeys(p for _, _, p in keys)])
     missing = settle(
-        reduce(DataFrame.unionByName, [
-            missing_parents(tables[t], c, tables[p]).select(F.lit(f"{t}.{c}").alias("key_name"), "fk_key") for t, c, p in keys
-        ]),
+        refs.select("parent", "value").distinct().join(parents, (F.col("p_name") == F.col("parent")) & (F.col("p_id") == F.col("value")), "left_anti"),
         "missing-parents",
-    )
-    parts = [
-        tables[t].join(missing.filter(F.col("key_name") == f"{t}.{c}"), F.col(c).cast("bigint") == F.col("fk_key"), "left_semi")
-        .select(
-            F.lit(t).alias("table_name"), F.lit(c).alias("key_column"),
-            F.col("id").cast("bigint").alias("id"), F.col(c).cast("bigint").alias("value"),
-        )
-        for t, c, _ in keys
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    ).select(F.col("parent").alias("m_parent"), F.col("value").alias("m_value"))
+    return refs.join(missing, (F.col("m_parent") == F.col("parent")) & (F.col("m_value") == F.col("value")), "left_semi").select(
+        "table_name", "key_column", "id", "value")
 
 
 def unique_audit(tables: dict[str, DataFrame], keys=UNIQUE_KEYS) -> DataFrame:

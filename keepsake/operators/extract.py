@@ -127,11 +127,40 @@ def missing_tablespaces(ddl: DataFrame, existing: DataFrame) -> DataFrame:
     return ddl_tablespaces(ddl).join(have, F.col("tablespace") == F.col("have"), "left_anti")
 
 
-def missing_roles(ddl: DataFrame, acl: DataFrame, owners: DataFrame, existing: DataFrame) -> DataFrame:
-    """Roles that scripts, access lists or database owners (``owners(role)``) need and ``existing(role)`` lacks."""
-    need = ddl_roles(ddl).select("role").union(acl_roles(acl)).union(owners.select("role")).distinct()
+def needed_roles(ddl: DataFrame, acl: DataFrame, owners: DataFrame, dumps: DataFrame) -> DataFrame:
+    """(dump_id, role) that a restore of a dump needs: from its script, and from the access list and owner of its database.
+
+    ``dumps(dump_id, dbname)``, ``owners(datname, role)``.
+    """
+    of_databases = acl_explode(acl).filter(F.col("acl_role") != "").select("datname", F.col("acl_role").alias("role")).union(
+        owners.select("datname", "role")).distinct()
+    by_database = dumps.join(of_databases, F.col("datname") == F.col("dbname")).select("dump_id", "role")
+    return ddl_roles(ddl).select("dump_id", "role").union(by_database).distinct()
+
+
+def missing_roles(ddl: DataFrame, acl: DataFrame, owners: DataFrame, dumps: DataFrame, existing: DataFrame) -> DataFrame:
+    """(dump_id, role) of the needed roles that ``existing(role)`` lacks."""
     have = existing.select(F.col("role").alias("have"))
-    return need.join(have, F.col("role") == F.col("have"), "left_anti")
+    return needed_roles(ddl, acl, owners, dumps).join(have, F.col("role") == F.col("have"), "left_anti")
+
+
+def restore_preparation(restorejob: DataFrame, roles: DataFrame, spaces: DataFrame, there: DataFrame) -> DataFrame:
+    """(restore_id, kind, name): what has to be made at a destination before a restore.
+
+    ``roles(dump_id, role)`` and ``spaces(dump_id, tablespace)`` are what dumps need, ``there(
+    pgsql_instance_id, kind, name)`` what instances have. Jobs that leave roles or tablespaces
+    out need none of them.
+    """
+    jobs = restorejob.select(F.col("id").alias("restore_id"), "catalog_id", "dest_pgsql_instance_id", "role_handling", "tblspc_handling")
+    wanted = roles.select("dump_id", F.lit("role").alias("kind"), F.col("role").alias("name")).union(
+        spaces.select("dump_id", F.lit("tablespace").alias("kind"), F.col("tablespace").alias("name")))
+    asked = ((F.col("kind") == "role") & (F.col("role_handling") == "USE_ROLE")) | (
+        (F.col("kind") == "tablespace") & (F.col("tblspc_handling") == "USE_TBLSPC"))
+    have = there.select(F.col("pgsql_instance_id").alias("h_instance"), F.col("kind").alias("h_kind"), F.col("name").alias("h_name"))
+    rows = jobs.join(wanted, F.col("dump_id") == F.col("catalog_id")).filter(asked)
+    return rows.join(
+        have, (F.col("h_instance") == F.col("dest_pgsql_instance_id")) & (F.col("h_kind") == F.col("kind")) & (F.col("h_name") == F.col("name")), "left_anti"
+    ).select("restore_id", "kind", "name")
 
 
 def pipe_lookup(lines: DataFrame, keys: DataFrame, field: int, column: str = "line") -> DataFrame:
@@ -143,11 +172,13 @@ def pipe_lookup(lines: DataFrame, keys: DataFrame, field: int, column: str = "li
 
 def log_parse(lines: DataFrame, column: str = "line") -> DataFrame:
     """(logtime, level, tool, message) of ``stamp level tool message`` lines."""
-    def group(n: int):
-        return F.regexp_extract(column, LOG_LINE_PATTERN, n)
-
-    return lines.filter(F.col(column).rlike(LOG_LINE_PATTERN)).select(
-        s.parse_stamp(group(1)).alias("logtime"), group(2).alias("level"), group(3).alias("tool"), group(4).alias("message")
+    mark = "\u0001"
+    # one match a line: a line of the right form comes out marked and in parts, any other as it is
+    packed = F.regexp_replace(column, LOG_LINE_PATTERN, f"{mark}$1{mark}$2{mark}$3{mark}$4")
+    parts = lines.select(F.col(column).alias("line"), packed.alias("packed")).filter(
+        F.startswith("packed", F.lit(mark)) & (F.col("packed") != F.col("line"))).select(F.split("packed", mark, 5).alias("p"))
+    return parts.select(
+        s.parse_stamp(F.col("p")[1]).alias("logtime"), F.col("p")[2].alias("level"), F.col("p")[3].alias("tool"), F.col("p")[4].alias("message")
     )
 
 

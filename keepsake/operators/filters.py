@@ -6,6 +6,7 @@ moves them to the scan. A list is ``list_rows(view, [conditions], sort, limit)``
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -41,6 +42,7 @@ def within_hours(table: str, now, hours: float = 24) -> Column:
 
 
 def by_jobid(table: str, job: int | str) -> Column:
+    """On the list itself. ``base_conditions`` says the same on the tables it is made from."""
     if table in ("dumpjob", "restorejob"):
         return F.col("id") == F.lit(job).cast("int")
     if table in ("catalog", "restorelog"):
@@ -63,6 +65,65 @@ def by_database(table: str, name: str) -> Column:
     raise UnknownFilter(f"database filter on {table}")
 
 
+# Base columns that the text ``id/db.schema`` of a list is built from.
+ID_DB_SCHEMA = {"catalog": ("dumpjob_id", "dbname", "dumpschema"), "restorelog": ("restorejob_id", "dest_dbname", "restoreschema")}
+
+
+def _plain_start(pattern: str) -> str:
+    """What every text that is LIKE a pattern begins with."""
+    return re.split(r"[%_\\]", pattern, maxsplit=1)[0]
+
+
+def _built(table: str) -> Column:
+    """None of the parts of ``id/db.schema`` is null, and neither is the text."""
+    return reduce(and_, [F.col(c).isNotNull() for c in ID_DB_SCHEMA[table]])
+
+
+def base_conditions(table: str, kind: str, value: int | str) -> dict[str, Column]:
+    """A ``jobid``, ``database`` or ``schedule`` filter of a list as conditions on its base tables.
+
+    The list over the filtered tables has the rows of the filtered list, and the conditions reach
+    the scans: texts that lists build from columns are taken apart, and what a pattern says
+    about a column by itself is said about it.
+    """
+    if kind == "jobid":
+        if table in ("dumpjob", "restorejob"):
+            return {table: by_jobid(table, value)}
+        if table == "copyjob":
+            return {"dumpjob": F.col("id") == F.lit(value).cast("int")}
+        if table in ID_DB_SCHEMA:
+            number = ID_DB_SCHEMA[table][0]
+            text = str(value)
+            if re.fullmatch(r"0|-?[1-9][0-9]{0,8}", text):
+                return {table: (F.col(number) == int(text)) & _built(table)}
+            return {table: F.col(number).cast("string").like(text) & _built(table)}
+    if kind == "database":
+        if table in ID_DB_SCHEMA:
+            number, db, schema = ID_DB_SCHEMA[table]
+            # the text after the first slash, up to the next one
+            whole = s.split_part(s.concat_null(db, F.lit("."), schema), "/", 1).like(f"{value}.%")
+            start = _plain_start(str(value))
+            exact = whole & _built(table)
+            return {table: exact & F.startswith(F.col(db), F.lit(start)) if start and "." not in start and "/" not in start else exact}
+        if table in ("dumpjob", "database"):
+            return {"dumpjob": F.col("dbname").like(value)}
+    if kind == "schedule" and table in SCHEDULE_LISTS:
+        letter = value[:1].upper()
+        begins = F.startswith(F.col("jobtype"), F.lit(letter)) if letter else F.lit(False)
+        labelled = F.col("cron").isNotNull() | (F.col("jobtype") == "TRIGGER") if table == "restorejob" else F.col("cron").isNotNull()
+        return {"restorejob" if table == "restorejob" else "dumpjob": begins & labelled}
+    raise UnknownFilter(f"{kind} filter on {table}")
+
+
+def restores_of_database(restorejob: DataFrame, catalog: DataFrame, name: str) -> DataFrame:
+    """The restore jobs that read from or write to a database: two conditions, each where its column is."""
+    start = [F.startswith("dbname", F.lit(name))] if "." not in name else []
+    reads = catalog.filter(reduce(and_, [s.split_part(s.db_schema("dbname", "dumpschema"), ".", 1) == name, *start])).select(F.col("id").alias("c_id"))
+    ids = restorejob.filter(F.col("dest_dbname") == name).select(F.col("id").alias("r_id")).union(
+        restorejob.join(reads, F.col("c_id") == F.col("catalog_id"), "left_semi").select("id")).distinct()
+    return restorejob.join(ids, F.col("r_id") == F.col("id"), "left_semi")
+
+
 def by_schedule(table: str, word: str) -> Column:
     if table not in SCHEDULE_LISTS:
         raise UnknownFilter(f"schedule filter on {table}")

@@ -117,12 +117,15 @@ def retention_keep(catalog: DataFrame, dumpjob: DataFrame, now, deleted=DELETED_
     return slice_pick(catalog, settle(job_retention_info(catalog, dumpjob, deleted), "policies"), now)
 
 
+def named_ids(restorejob: DataFrame) -> DataFrame:
+    """(named_id): dumps that restore jobs name."""
+    return restorejob.select(F.col("catalog_id").alias("named_id")).filter(F.col("named_id").isNotNull()).distinct()
+
+
 def retention_pinned(catalog: DataFrame, restorejob: DataFrame) -> DataFrame:
     """Ids that always stay: marked YES or named by a restore job."""
-    named = restorejob.select(F.col("catalog_id").alias("named_id")).filter(F.col("named_id").isNotNull()).distinct()
-    marked = catalog.filter(F.col("keep") == "YES").select("id")
-    linked = catalog.select("id").join(named, F.col("id") == F.col("named_id"), "left_semi")
-    return marked.union(linked).distinct()
+    linked = catalog.select("id", "keep").join(named_ids(restorejob), F.col("id") == F.col("named_id"), "left")
+    return linked.filter((F.col("keep") == "YES") | F.col("named_id").isNotNull()).select("id").distinct()
 
 
 def keep_set(catalog: DataFrame, dumpjob: DataFrame, restorejob: DataFrame, now, deleted=DELETED_JOB_POLICY) -> DataFrame:
@@ -142,11 +145,14 @@ def retention_remove(
     """All dumps that the next clean removes, with their full path.
 
     Failed, half-removed and unkept dumps go too, and so do dumps dated after today.
-    The ids to keep are written down first (one number per slice and pinned dump). As
+    The ids to keep are written down first (one number per slice and named dump). As
     their size is known then, a small keep set is matched without shuffling the catalog.
+    Dumps marked YES are left out on the way, so the catalog is read three times: for its
+    jobs, for the slices, and here.
     """
-    keep = settle(keep_set(catalog, dumpjob, restorejob, now, deleted), "keep-ids")
-    gone = remove_set(catalog, keep)
+    picks = retention_keep(catalog, dumpjob, now, deleted).select("id")
+    keep = settle(picks.union(named_ids(restorejob)).distinct(), "keep-ids")
+    gone = remove_set(catalog.filter(F.coalesce(F.col("keep") != "YES", F.lit(True))), keep)
     return gone.select("id", "dumpjob_id", "starttime", "bu_name", s.full_path("bu_location", "bu_name").alias("full_path"))
 
 

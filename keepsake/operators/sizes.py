@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+COPIES_AT_ONCE = 1000
+
 
 def size_total(relations: DataFrame) -> DataFrame:
     """Bytes of all tables; -1 if there is none."""
@@ -30,4 +32,7 @@ def config_diff(before: DataFrame, after: DataFrame, column: str = "line") -> Da
     )
     net = both.groupBy("line").agg(F.sum("d").alias("d")).filter(F.col("d") != 0)
     change = F.when(F.col("d") > 0, F.lit("added")).otherwise(F.lit("removed"))
-    return net.select(F.explode(F.array_repeat(change, F.abs("d").cast("int"))).alias("change"), "line")
+    # copies of a line come out thousand by thousand, never as one array
+    step, copies = F.lit(COPIES_AT_ONCE).cast("bigint"), F.abs("d")
+    starts = net.select(change.alias("change"), "line", copies.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1, step)).alias("start"))
+    return starts.select("change", "line", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(step, F.col("n") - F.col("start")))).alias("copy")).drop("copy")

@@ -7,9 +7,24 @@ hint: Spark decides by their real size, statically and again at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepsake.functions import scalars as s
+from keepsake.session import settle
+
+
+def numbered(ordered: DataFrame, column: str = "position") -> DataFrame:
+    """Rows of a sorted list with their place, from 1: the place inside a range of the sort, after the ranges before it.
+
+    The list is written in its order first; what is added up has one row per range.
+    """
+    rows = settle(ordered.withColumn("_at", F.monotonically_increasing_id()), "sorted-list")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    starts = settle(sizes.select("_part", before.alias("_before")), "list-ranges")
+    placed = rows.join(starts, part == F.col("_part"))
+    return placed.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
 
 
 def _sorted(df: DataFrame, ordered: bool, keys: list[Column], columns: list[Column]) -> DataFrame:

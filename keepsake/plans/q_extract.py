@@ -79,10 +79,33 @@ def _missing_spaces(m):
     return x.missing_tablespaces(m.ddl, m.region.selectExpr("'ts' || r_regionkey * 2 as tablespace"))
 
 
-@query("missing_roles", f"""select role from (select role from ({ROLES}) union select acl_role from ({ACL}) where acl_role <> ''
-  union select 'owner' || n_nationkey from nation) where role not in (select 'role' || n_nationkey * 2 from nation)""")
+NEEDED = f"""(select dump_id, role from ({ROLES}) union
+  select c.id, r.role from fx_catalog c join (select datname, acl_role as role from ({ACL}) where acl_role <> ''
+    union select 'db' || n_nationkey, 'owner' || n_nationkey from nation) r on r.datname = c.dbname)"""
+
+
+def needed(m):
+    owners = m.nation.selectExpr("'db' || n_nationkey as datname", "'owner' || n_nationkey as role")
+    return m.ddl, m.acl, owners, m.catalog.select(F.col("id").alias("dump_id"), "dbname")
+
+
+@query("missing_roles", f"select dump_id, role from {NEEDED} where role not in (select 'role' || n_nationkey * 2 from nation)")
 def _missing_roles(m):
-    return x.missing_roles(m.ddl, m.acl, m.nation.selectExpr("'owner' || n_nationkey as role"), m.nation.selectExpr("'role' || n_nationkey * 2 as role"))
+    return x.missing_roles(*needed(m), m.nation.selectExpr("'role' || n_nationkey * 2 as role"))
+
+
+@query("restore_preparation", f"""with there as (
+  select i.id as instance, 'role' as kind, 'role' || n_nationkey as name from fx_instance i join nation on n_nationkey % 4 <> i.id % 4
+  union all select i.id, 'tablespace', 'ts' || r_regionkey from fx_instance i join region on r_regionkey % 2 = i.id % 2),
+want as (select dump_id, 'role' as kind, role as name from {NEEDED} union all select dump_id, 'tablespace', tablespace from ({SPACES}))
+select j.id as restore_id, w.kind, w.name from fx_restorejob j join want w on w.dump_id = j.catalog_id
+where case when w.kind = 'role' then j.role_handling = 'USE_ROLE' else j.tblspc_handling = 'USE_TBLSPC' end
+  and not exists (select 1 from there t where t.instance = j.dest_pgsql_instance_id and t.kind = w.kind and t.name = w.name)""")
+def _preparation(m):
+    i = m.instance.select(F.col("id").alias("pgsql_instance_id"))
+    there = i.join(m.nation, F.expr("n_nationkey % 4 <> pgsql_instance_id % 4")).selectExpr("pgsql_instance_id", "'role' as kind", "'role' || n_nationkey as name").union(
+        i.join(m.region, F.expr("r_regionkey % 2 = pgsql_instance_id % 2")).selectExpr("pgsql_instance_id", "'tablespace'", "'ts' || r_regionkey"))
+    return x.restore_preparation(m.restorejob, x.needed_roles(*needed(m)), x.ddl_tablespaces(m.ddl), there)
 
 
 @query("pipe_lookup", """select cast(d.id as string) as key, d.dbname as value from fx_dumpjob d where d.id in (select id from fx_restorejob)""")

@@ -12,7 +12,7 @@ from keepsake.plans.q_extract import ACL
 from keepsake.plans.q_retention import KEEP
 from keepsake.plans.registry import NOW, query
 from keepsake.session import work_dir
-from keepsake.sources import snapshots as sn, textfiles as tf
+from keepsake.sources import folders, snapshots as sn, textfiles as tf
 from keepsake.sources.schemas import TABLES, conform
 
 START = dt.datetime(2001, 3, 30, 12, 0, 0)
@@ -109,19 +109,34 @@ def _write(m):
     )
 
 
-@query("snapshot_restore", "select * from orders")
+# Every table as (key, words, amount), so that rows of all of them are one result.
+ROWS = {
+    "public.orders": ("o_orderkey", "o_orderstatus || '|' || o_orderpriority", "o_totalprice", "orders"),
+    "public.customer": ("c_custkey", "c_name || '|' || c_mktsegment", "c_acctbal", "customer"),
+    "stock.part": ("p_partkey", "p_name || '|' || p_brand || '|' || p_type", "p_retailprice", "part"),
+}
+
+
+def all_rows(m, place: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        m.spark.read.parquet(f"{place}/{t}").select(F.lit(t).alias("table_name"), F.col(k).alias("key"), F.expr(words).alias("words"), F.col(a).alias("amount"))
+        for t, (k, words, a, _) in ROWS.items()])
+
+
+@query("snapshot_restore", "\nunion all ".join(
+    f"select '{t}' as table_name, {k} as key, {words} as words, {a} as amount from {source}" for t, (k, words, a, source) in ROWS.items()))
 def _restore(m):
     shot, dest = take(m), work_dir(m.spark, "restored")
     m.region.write.parquet(f"{dest}/shop2/public.old")
     done = sn.snapshot_restore(m.spark, shot.path, sn.RestoreJob(1, dest, "shop2", existing_db="RENAME"))
     if done.status != "COMPLETED":
         raise RuntimeError(done.message)
-    return m.spark.read.parquet(f"{dest}/shop2/public.orders")
+    return all_rows(m, f"{dest}/shop2")
 
 
-@query("snapshot_copy", """select 'a' as dest, count(*) as row_count, cast(sum(c_custkey) as bigint) as key_sum from customer
-union all select 'b', count(*), cast(sum(c_custkey) as bigint) from customer
-union all select 'c', 0, null from customer having count(*) > 0""")
+@query("snapshot_copy", "\nunion all ".join(
+    f"select '{d}' as dest, '{t}' as table_name, " + (f"count(*) as row_count, cast(sum({k}) as bigint) as key_sum from {source}" if d != "c" else "0 as row_count, null as key_sum")
+    for d in "abc" for t, (k, _, _, source) in ROWS.items() if d != "b" or t.startswith("public.")))
 def _copy(m):
     shot, dest = take(m), work_dir(m.spark, "copies")
     jobs = [sn.RestoreJob(1, dest, "a"), sn.RestoreJob(2, dest, "b", restoreschema="public"), sn.RestoreJob(3, dest, "c", restoretype="SCHEMA")]
@@ -129,8 +144,9 @@ def _copy(m):
         if done.status != "COMPLETED":
             raise RuntimeError(done.message)
     return reduce(DataFrame.unionByName, [
-        m.spark.read.parquet(f"{dest}/{d}/public.customer").agg(F.count(F.lit(1)).alias("row_count"), F.sum("c_custkey").alias("key_sum"))
-        .select(F.lit(d).alias("dest"), "row_count", "key_sum") for d in "abc"])
+        m.spark.read.parquet(f"{dest}/{d}/{t}").agg(F.count(F.lit(1)).alias("row_count"), F.sum(ROWS[t][0]).alias("key_sum"))
+        .select(F.lit(d).alias("dest"), F.lit(t).alias("table_name"), "row_count", "key_sum")
+        for d in "abc" for t in folders.names(m.spark, f"{dest}/{d}")])
 
 
 @query("verify_schema", """select 'public.orders' as table_name, true as ok, count(*) as row_count from orders

@@ -105,9 +105,9 @@ def _set(m):
     return r.set_column(m.catalog, changes, "status").select("id", "status")
 
 
-@query("delete_ids", "select id, bu_name from fx_catalog where id not in (select id from fx_restorelog)")
+@query("delete_ids", "select id, bu_name from fx_catalog where id not in (select id from fx_restorelog where status = 'ERROR')")
 def _delete(m):
-    return r.delete_ids(m.catalog, m.restorelog).select("id", "bu_name")
+    return r.delete_ids(m.catalog, m.restorelog.filter("status = 'ERROR'")).select("id", "bu_name")
 
 
 @query("dumps_per_job", "select dumpjob_id, count(*) as dumps from fx_catalog group by dumpjob_id")

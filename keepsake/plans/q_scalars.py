@@ -127,11 +127,11 @@ def _f23(m):
                             s.overlap_instant("starttime", "endtime", F.date_trunc("hour", "endtime").cast("timestamp_ntz")).alias("w"))
 
 
-@query("array_collect", """select d.id, list_contains(string_split(d.restorejob_id, ','), '5') as has_5, len(string_split(d.restorejob_id, ',')) as n
-from fx_dumpjob d where d.restorejob_id <> ''""")
+@query("array_collect", """select id, coalesce(list_contains(parts, '5'), false) as has_5, coalesce(len(parts), 0) as n
+from (select id, string_split(nullif(restorejob_id, ''), ',') as parts from fx_dumpjob)""")
 def _f24(m):
     ids = s.id_list("restorejob_id")
-    return m.dumpjob.filter("restorejob_id <> ''").select("id", F.array_contains(ids, 5).alias("has_5"), F.size(ids).cast("bigint").alias("n"))
+    return m.dumpjob.select("id", F.array_contains(ids, 5).alias("has_5"), F.size(ids).cast("bigint").alias("n"))
 
 
 @query("compact_stamp", "select id, strftime(starttime, '%Y%m%dT%H%M%S') || '+0000' as v, starttime as back from fx_catalog")

@@ -50,9 +50,9 @@ select cast(c_custkey as int) as id, cast(c_custkey % 5 as int) as worker_id,
   case when c_custkey % 8 = 0 then cast(c_custkey % 20 as string) || ',' || cast(c_custkey % 20 + 1 as string)
     when c_custkey % 8 = 1 then '' end as restorejob_id,
   timestamp '2000-01-01 00:00:00' + (c_custkey % 5) * interval '1' day as date_added
-from {customer} where c_custkey % 10 <> 9""",
+from {customer}""",
     "fx_catalog": """
-select cast(o_orderkey as int) as id, cast(o_custkey % 50 as int) as dumpjob_id,
+select cast(o_orderkey as int) as id, cast(case when o_custkey % 10 = 9 then 2000000000 + o_custkey % 50 else o_custkey % 50 end as int) as dumpjob_id,
   o_orderdate + (o_orderkey % 86400) * interval '1' second as starttime,
   o_orderdate + (o_orderkey % 86400 + o_orderkey % 3600 + 1) * interval '1' second as endtime,
   case when o_orderkey % 97 = 0 then 'REMOVING' when o_orderstatus = 'P' then 'FAILED' else 'SUCCESS' end as status,
@@ -96,7 +96,7 @@ select cast(o_orderkey as int) as id, case when o_orderkey % 211 = 5 then 999999
   's' || cast(o_custkey % 10 as string) as pgsql_dns_name, cast(5432 as int) as pgsql_port,
   'db' || cast(o_custkey % 45 as string) as dest_dbname, '*' as restoreschema, 'FULL' as restoretype,
   'db' || cast(o_custkey % 40 as string) as src_dbname
-from {orders} where o_orderstatus = 'F'""",
+from {orders}""",
     "fx_message": """
 select cast(event_id as int) as id,
   case event_type when 'error' then 'ERROR' when 'purchase' then 'WARNING' when 'signup' then 'CRITICAL' when 'view' then 'DEBUG' else 'INFO' end as level,
@@ -106,8 +106,8 @@ select cast(event_id as int) as id,
 from {events}""",
     "fx_activity": """
 select event_id as seq, ts as at, cast(user_id % 5 as int) as worker_id, cast(user_id as int) as process_id,
-  case when event_type = 'signup' then 'START' else 'END' end as op
-from {events} where event_type in ('signup', 'purchase')""",
+  case when event_type in ('signup', 'click') then 'START' else 'END' end as op
+from {events}""",
     "fx_status": """
 select cast(user_id as int) as job_id, ts as at, event_id, event_type as status
 from {events}""",
@@ -121,7 +121,8 @@ select cast(doc_id as int) as file_id, cast(substr(source, 4) as int) as dump_id
   md5(text) as checksum, n_chars as size
 from {documents}""",
     "fx_store": """
-select md5(text) as checksum, max(n_chars) as size from {documents} where doc_id % 2 = 0 group by md5(text)
+select md5(case when doc_id % 2 = 0 then text else 'older ' || text end) as checksum, max(n_chars) as size from {documents}
+group by md5(case when doc_id % 2 = 0 then text else 'older ' || text end)
 union all
 select md5('orphan ' || cast(r_regionkey as string)) as checksum, cast(100 as bigint) as size from {region}""",
     "fx_ddl": """

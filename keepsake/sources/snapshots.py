@@ -12,6 +12,7 @@ import datetime as dt
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +23,8 @@ from keepsake.sources import folders
 from keepsake.sources.schemas import schema_of
 
 Tables = dict[str, DataFrame]
+# Tables of one snapshot that are written at the same time.
+TABLES_AT_ONCE = 4
 
 # Types of dumps; ending of a kept old database; status words.
 DUMP_TYPES = ("FULL", "SCHEMA", "CLUSTER", "CLUSTER_SCHEMA", "SCRIPT")
@@ -172,16 +175,20 @@ def snapshot_write(
             wanted = [(job.dbname, "script", words[0], SCRIPTS[words[0]](spark, context))]
         else:
             wanted = _chosen(databases, job)
-        rows = []
-        for db, schema, table, df in wanted:
+
+        def one(entry: tuple[str, str, str, DataFrame]) -> tuple:
+            db, schema, table, df = entry
             if job.dumptype in ("SCHEMA", "CLUSTER_SCHEMA"):
-                rows.append((db, schema, table, 0, "0", df.schema.json(), None, job.dumptype, job.dumpschema))
-                continue
+                return db, schema, table, 0, "0", df.schema.json(), None, job.dumptype, job.dumpschema
             where = f"data/{db}/{schema}.{table}"
             count, content = _write_table(df, f"{path}/{where}")
             if not verify.schema_matches(df.schema.json(), spark.read.parquet(f"{path}/{where}")):
                 raise ValueError(f"stage 1 verify failed: schema of {schema}.{table}")
-            rows.append((db, schema, table, count, content, df.schema.json(), where, job.dumptype, job.dumpschema))
+            return db, schema, table, count, content, df.schema.json(), where, job.dumptype, job.dumpschema
+
+        # jobs of several tables fill the cluster side by side
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            rows = list(pool.map(one, wanted))
         _manifest(spark, rows, f"{path}/manifest")
         status, message, dumpsize = "SUCCESS", job.comment, _bytes_below(spark, path)
         dbsize = -1
