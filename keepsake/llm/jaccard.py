@@ -328,6 +328,11 @@ def star_pairs(rows: DataFrame, labels: DataFrame | None, number: int, percent:
     return met.filter(2 * ANCHOR * (100 + percent) * F.col("met") >= (100 - percent) * percent * F.col("n") / 100).select("a", "b")
 
 
+def labels_as_links(labels: DataFrame) -> DataFrame:
+    """Links ``a, b`` that hang together the same classes: each with the lowest of its component."""
+    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; links are pairs of ``percent`` or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
@@ -349,13 +354,18 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     )
     rows = shared.join(classes.select("cls", "n", "doc_id"), "cls")
 
-    first, labels = None, None
+    # each round goes on from the components of the one before, and one that finds no link ends them
+    labels = None
     for r in range(ROUNDS):
-        star = settle(star_pairs(rows, labels, r, percent), "star")
-        found = settle(verified(star, texts, width, percent), "links")
-        first = found if first is None else first.union(found)
-        labels = settle(components(first), "labels")
+        star = star_pairs(rows, labels, r, percent)
+        found = settle(verified(settle(star, "star"), texts, width, percent), "links")
+        if not found.limit(1).count():
+            break
+        joined = labels_as_links(labels).union(found) if labels is not None else found
+        labels = settle(components(joined), "labels")
 
+    if labels is None:
+        labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
     marked = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", "n", "ask", F.coalesce("component", "cls").alias("component"))
     dealt = in_parts(settle(marked, "marked"), buckets).join(classes.select("cls", "bits"), "cls")
@@ -363,7 +373,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     second = verified(across, texts, width, percent)
 
     ids = classes.select("cls", "doc_id")
-    links = first.union(second).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = labels_as_links(labels).union(second).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # ids of one class and rows of one id hang together too
     lowest = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     own = sets.filter("cls is not null").join(lowest, "cls").select("doc_id", "n", "low")
@@ -376,12 +386,15 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, once; rows without shingles or id stay."""
+    """One document of each component, the one with the smallest id; rows without shingles or id stay.
+
+    Where an id repeats, equal texts of it are one document and different ones stay each.
+    """
     docs = settle(docs, "linked-docs")
     linked = settle(link(docs, width, percent), "linked")
     gone = settle(linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("d")).distinct(), "gone")
     twice = settle(linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d")), "twice")
     key = docs["doc_id"].cast("long")
-    kept = docs.join(gone, key == F.col("d"), "left_anti")
-    return kept.join(twice, key == F.col("d"), "left_anti").unionByName(
-        kept.join(twice, key == F.col("d"), "left_semi").dropDuplicates(["doc_id"]))
+    kept = docs.join(gone, (key == F.col("d")) & F.col("text").isNotNull(), "left_anti")
+    repeated = (key == F.col("d")) & F.col("text").isNotNull()
+    return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
