@@ -15,8 +15,9 @@ the plan that holds the rank says sequence and place. No length, bucket or docum
 one task.
 
 Words repeat, so a task tokenises each distinct word only once (``by_word``). That is right for the named
-tokenizer, which lets no token cross white space, and cuts plain ASCII words into runs of letters, single
-digits and runs of marks before its model sees them; words with other characters go through it whole.
+tokenizer, which lets no token cross white space, and cuts words of ASCII and Latin letters into runs of
+letters, single digits and runs of marks before its model sees them, lower-cased and byte by byte; words with
+other characters, apostrophes or bars go through it whole.
 For other tokenizers, ``by_word=False`` tokenises text by text.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids are packed each; long
@@ -26,7 +27,6 @@ texts are cut, never dropped; an empty table gives no rows. Other columns are no
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +44,40 @@ CHUNK, BATCH_TOKENS, KNOWN_UNITS, AT_ONCE = 1 << 20, 4 << 20, 200_000, 4096
 
 
 # Bytes of a word: 0 letters, 1 digits, 2 other plain marks; 3 whatever only the tokenizer itself may cut.
-KIND = np.array([3 if not 0x21 <= b <= 0x7E or chr(b) in "'|" else 0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
-HARD = tb.table_of(lambda b: KIND[b] == 3)
+# Latin letters of two bytes, U+00C0 to U+024F, are letters like those of ASCII; see ``hard_bytes``.
+KIND = np.array([
+    0 if 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC9 else 3 if not 0x21 <= b <= 0x7E or chr(b) in "'|" else 0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2
+    for b in range(256)], np.uint8)
+# The two signs among them that are no letters, and the letter whose lower case is two characters.
+NOT_PLAIN = "\u00d7\u00f7\u0130"
+
+
+def hard_bytes(data: np.ndarray) -> np.ndarray:
+    """Where bytes stand that are neither plain ASCII nor part of a plain Latin letter."""
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    follows = np.zeros(len(data), bool)
+    follows[:-1] = (data[1:] >= 0x80) & (data[1:] <= np.where(data[:-1] == 0xC9, 0x8F, 0xBF))
+    pair = lead & follows
+    for sign in NOT_PLAIN:
+        first, second = sign.encode()
+        pair[:-1] &= ~((data[:-1] == first) & (data[1:] == second))
+    plain = pair.copy()
+    plain[1:] |= pair[:-1]
+    return (KIND[data] == 3) | ((data >= 0x80) & ~plain)
+
+
+def byte_letters() -> list[str]:
+    """The characters that stand for bytes in the vocabulary: visible ones themselves, the rest from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
 class Units:
     """Token ids of units, each tokenised once; the memory is emptied when it holds too many.
 
-    A unit is a word, or, where a word is plain ASCII, the lower-cased run of letters, the digit or
-    the run of marks that the tokenizer would cut it into, which then only needs its model.
+    A unit is a word, or, where a word is plain, the run of letters, the digit or the run of
+    marks that the tokenizer would cut it into, which then only needs its model.
     """
 
     def __init__(self, model: str):
@@ -63,24 +88,31 @@ class Units:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.place: dict[bytes, int] = {}
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain(self, unit: bytes) -> list[int]:
+        text = unit.decode().lower()
+        if not text.isascii():
+            text = "".join([self.letters[b] for b in text.encode()])
+        return [t.id for t in self.model.tokenize(text)]
+
     def learn(self, units: list[bytes]) -> None:
-        hard = re.compile(b"[" + re.escape(bytes(np.flatnonzero(HARD).tolist())) + b"]").search
         new = [u for u in units if u not in self.place]
         if len(self.place) + len(new) > KNOWN_UNITS and self.place:
             self.place, new = {}, units
             self.start, self.length, self.ids = self.start[:0], self.length[:0], self.ids[:0]
         for k in range(0, len(new), AT_ONCE):
             some = new[k:k + AT_ONCE]
-            whole = [u for u in some if hard(u)]
-            found = dict(zip(whole, self.encode([u.decode("utf-8", "replace") for u in whole])))
-            ids = [found[u] if u in found else [t.id for t in self.model.tokenize(u.decode())] for u in some]
+            at = np.cumsum([0, *map(len, some)])
+            counted = np.concatenate(([0], np.cumsum(hard_bytes(np.frombuffer(b"".join(some), np.uint8)))))[at]
+            whole = (counted[1:] > counted[:-1]).tolist()
+            found = iter(self.encode([u.decode("utf-8", "replace") for u, w in zip(some, whole) if w]))
+            ids = [next(found) if w else self.plain(u) for u, w in zip(some, whole)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             self.place.update(zip(some, range(len(self.start), len(self.start) + len(some))))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
@@ -97,7 +129,7 @@ def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The units of all texts in order, and the text of each."""
     first, last, owner = tb.words(data, offsets, tb.SOLID)
-    hard = np.concatenate(([0], np.cumsum(HARD[data])))
+    hard = np.concatenate(([0], np.cumsum(hard_bytes(data))))
     plain = np.repeat(hard[last] == hard[first], last - first)
     inside = tb.SOLID[data]
     body = data[inside]

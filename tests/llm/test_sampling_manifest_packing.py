@@ -156,7 +156,8 @@ def tokenizer():
 
 
 def test_op13_ids_are_the_tokenizers(spark, docs):
-    texts = [r[1] for r in rows()] + ["It's NAÏVE — 日本語テキスト é ́x 12345 don't\tTABS\x0b\x0c\x85 ΣΑΣ İ ﬁ", "<|endoftext|> end", "a" * 9000, "\n\n"]
+    texts = [r[1] for r in rows()] + ["It's NAÏVE — 日本語テキスト é ́x 12345 don't\tTABS\x0b\x0c\x85 ΣΑΣ İ ﬁ", "<|endoftext|> end", "a" * 9000, "\n\n",
+        "É1Èé×÷İstanbul Āſ ɏɐ Ⱥé. ÀB-c\u0301 naïve,œuvre' x\u0130y ª µº Ǆ ÿ\u00d7", *["".join(map(chr, range(k, k + 64))) for k in range(0x80, 0x400, 64)]]
     full = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     t = tokenizer()
     for by_word in (True, False):
