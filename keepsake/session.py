@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,19 @@ def drop_work(spark: SparkSession) -> None:
         folders.drop(spark, _written.pop())
 
 
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """A run whose intermediate tables go at its end; its results have to be written by then."""
+    from keepsake.sources import folders
+
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            folders.drop(spark, _written.pop())
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several steps need, once, and go on from the written table.
 

@@ -25,10 +25,10 @@ DATA_FILES = "*.dat.gz"
 SPOOL_PATTERN = r"\.([^./]+)\.dat(?:/[^/]*)?$"
 
 
-def _plain(df: DataFrame, name: str) -> Column:
+def _plain(df: DataFrame, name: str, true: str = "t", false: str = "f") -> Column:
     c = F.col(name)
     if isinstance(df.schema[name].dataType, T.BooleanType):
-        c = F.when(c, F.lit("t")).when(~c, F.lit("f"))
+        c = F.when(c, F.lit(true)).when(~c, F.lit(false))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
@@ -54,8 +54,8 @@ def read_pipe(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def export_tsv(df: DataFrame, path: str) -> None:
-    """A header and tab-separated lines, values bare as they are, nulls as ``None``."""
-    values = [F.coalesce(F.when(F.col(c).isNotNull(), _plain(df, c)), F.lit("None")) for c in df.columns]
+    """A header and tab-separated lines, values bare as they are, nulls as ``None``, booleans as ``True`` and ``False``."""
+    values = [F.coalesce(F.when(F.col(c).isNotNull(), _plain(df, c, "True", "False")), F.lit("None")) for c in df.columns]
     header = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string").coalesce(1)
     header.unionByName(df.select(F.concat_ws("\t", *values).alias("value"))).write.text(path)
 

@@ -22,9 +22,12 @@ def _spool_stream(spark: SparkSession, folder: str, max_files: int | None = None
 
 
 def stream_upload(
-    spark: SparkSession, spool: str, out: str, checkpoint: str, max_files: int | None = None
+    spark: SparkSession, spool: str, out: str, checkpoint: str, max_files: int | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Spool to ``out/message``, ``out/catalog`` and ``out/rejects``; runs until the spool is read."""
+    """Spool to ``out/message``, ``out/catalog`` and ``out/rejects``; by default it runs until the spool is read.
+
+    ``trigger`` holds the arguments of Spark's trigger, such as ``{"processingTime": "5 minutes"}``.
+    """
 
     def load(batch: DataFrame, number: int) -> None:
         judged = textfiles.judge(textfiles.route(batch)).persist()
@@ -37,16 +40,16 @@ def stream_upload(
 
     return (
         _spool_stream(spark, spool, max_files).writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def stream_log_messages(
-    spark: SparkSession, logs: str, out: str, checkpoint: str, worker, max_files: int | None = None
+    spark: SparkSession, logs: str, out: str, checkpoint: str, worker, max_files: int | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Log files to message rows in ``out``; stateless, so the file sink is enough."""
     rows = extract.log_to_message(_spool_stream(spark, logs, max_files).select("line"), worker)
     return (
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )

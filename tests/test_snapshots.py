@@ -117,7 +117,7 @@ def test_pipe_and_tsv(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(path).collect()) == ['1|quote " here|t', "2||"]
     assert [n for n in os.listdir(tmp_path) if n.startswith(".x")] == []
     tf.export_tsv(df.coalesce(1), str(tmp_path / "tsv"))
-    assert {r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()} >= {"id\tt\tb", "2\tNone\tNone"}
+    assert {r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()} >= {"id\tt\tb", "2\tNone\tNone", '1\tquote " here\tTrue'}
 
 
 def test_file_inventory(spark, tmp_path, monkeypatch):
@@ -194,3 +194,15 @@ def test_row_hash_sees_nulls_change_places(spark):
 
     df = spark.createDataFrame([(None, 5), (5, None)], "a int, b int")
     assert df.select(verify.content_parts(df, ["a", "b"])[0].alias("h")).distinct().count() == 2
+
+
+def test_work_of_a_run_goes_at_its_end(spark, tmp_path):
+    from keepsake import session
+    from keepsake.sources import folders
+
+    kept = session.settle(spark.range(3), "kept")
+    with session.work_scope(spark):
+        inner = session.settle(spark.range(5), "inner")
+        inner.write.parquet(str(tmp_path / "out"))
+        place = inner.inputFiles()[0].rsplit("/", 1)[0]
+    assert not folders.exists(spark, place) and kept.count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 5
