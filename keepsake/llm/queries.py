@@ -48,7 +48,7 @@ with lines as (
   select doc_id, coalesce('=' || source, '') site, i - 1 as pos, trim(parts[i], ' ') as line
   from (select doc_id, source, parts, unnest(range(1, len(parts) + 1)) i
         from (select doc_id, source, string_split(text, chr(10)) parts from documents))
-), judged as (select * from lines where len(regexp_split_to_array(line, '\s+')) >= 3
+), judged as (select * from lines where regexp_matches(line, '[^\x20\x09-\x0D]')
 ), bad as (
   select line, min((doc_id, pos)) f from judged group by line having count(distinct site) >= 5
 ), gone as (select j.doc_id, j.pos from judged j join bad b on j.line = b.line and (j.doc_id, j.pos) <> b.f
@@ -58,8 +58,7 @@ select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::int as n_lines
 from documents d left join cut c using (doc_id)
 """)
 def op2(table):
-    # its SQL judges lines of three words or more
-    return line_dedup.drop_boilerplate(table("documents"), min_words=3).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.drop_boilerplate(table("documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op3_exact_topk", """
