@@ -131,6 +131,37 @@ def _write_table(df: DataFrame, path: str) -> tuple[int, str]:
     return int(seen.get["rows"]), str(seen.get["content"])
 
 
+def _write_ranges(df: DataFrame, key: str, path: str, content: str) -> None:
+    """Sums over ranges of the key of what was written. They have to add up to what went into the writing."""
+    low, high = verify.key_ranges(df, key)
+    sums = verify.range_sums(df, key, df.columns, low, high)
+    sums.withColumn("low", F.lit(low)).withColumn("high", F.lit(high)).withColumn("key", F.lit(key)).coalesce(1).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    if kept.agg(F.coalesce(F.sum("part0"), F.lit(0)).cast("decimal(38,0)").cast("string")).first()[0] != content:
+        raise ValueError(f"what was read back differs from what was written: {path}")
+
+
+def damage(spark: SparkSession, snapshot: str, reader=None) -> DataFrame:
+    """(table_name, leaf, first_key, last_key, row_count, found_count): damaged key ranges of all tables that have sums."""
+    parts = []
+    for e in _entries(spark, snapshot):
+        name = f"{e['schema_name']}.{e['table_name']}"
+        where = f"{snapshot}/ranges/{e['dbname']}/{name}"
+        if e["path"] is None or not folders.exists(spark, where):
+            continue
+        kept = spark.read.parquet(where)
+        bounds = kept.select("low", "high", "key").first()
+        if bounds is None:
+            continue
+        df = (reader or read_table)(spark, snapshot, e)
+        found = verify.range_sums(df, bounds["key"], df.columns, bounds["low"], bounds["high"])
+        bad = verify.damaged_ranges(kept.drop("low", "high", "key"), found, bounds["low"], bounds["high"])
+        parts.append(bad.select(F.lit(name).alias("table_name"), *bad.columns))
+    if not parts:
+        return spark.createDataFrame([], "table_name string, leaf bigint, first_key bigint, last_key bigint, row_count bigint, found_count bigint")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _bytes_below(spark: SparkSession, path: str) -> int:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("length").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -154,12 +185,14 @@ def read_table(spark: SparkSession, snapshot: str, entry) -> DataFrame:
 
 def snapshot_write(
     spark: SparkSession, databases: dict[str, Tables], root: str, job: DumpJob, start: dt.datetime,
-    end: dt.datetime | None = None, relations: DataFrame | None = None,
+    end: dt.datetime | None = None, relations: DataFrame | None = None, keys: dict[str, str] | None = None,
 ) -> Snapshot:
     """Take a snapshot and make its catalog row.
 
-    ``relations`` (see ``sizes``) gives the size of the database. A failure leaves a
-    FAILED row with sizes of -1, and whatever was written stays without a manifest.
+    ``relations`` (see ``sizes``) gives the size of the database. Tables with a key in ``keys``
+    (``schema.table`` to column) are read back once, and sums over ranges of the key are kept, by
+    which ``damage`` finds what has changed since. A failure leaves a FAILED row with sizes of
+    -1, and whatever was written stays without a manifest.
     """
     if job.dumptype not in DUMP_TYPES:
         raise ValueError(f"dump type {job.dumptype}")
@@ -184,6 +217,8 @@ def snapshot_write(
             count, content = _write_table(df, f"{path}/{where}")
             if not verify.schema_matches(df.schema.json(), spark.read.parquet(f"{path}/{where}")):
                 raise ValueError(f"stage 1 verify failed: schema of {schema}.{table}")
+            if keys and f"{schema}.{table}" in keys:
+                _write_ranges(spark.read.schema(df.schema).parquet(f"{path}/{where}"), keys[f"{schema}.{table}"], f"{path}/ranges/{db}/{schema}.{table}", content)
             return db, schema, table, count, content, df.schema.json(), where, job.dumptype, job.dumpschema
 
         # jobs of several tables fill the cluster side by side

@@ -177,3 +177,23 @@ def test_versions(spark, tmp_path):
         versions.put(versions.read(spark, path, "id bigint").union(spark.range(1)), path)
     versions.append(spark.range(1), path)
     assert versions.read(spark, path, "id bigint").count() == 6 and len(versions.numbers(spark, path)) == 2
+
+
+def test_damage_of_a_stored_snapshot_is_located(spark, tmp_path):
+    home = Home(spark, str(tmp_path))
+    shot = sn.snapshot_write(spark, {"d": tables(spark)}, home.root, sn.DumpJob(1, "d"), T0, keys={"public.a": "id"})
+    assert shot.status == "SUCCESS"
+    assert sn.damage(spark, shot.path).count() == 0
+    home.take_in(shot.path)
+    assert sn.damage(spark, shot.path, dump.read_from(home)).count() == 0
+    # a bad disk: the content of table a with one other value and one row less
+    row = vault.files(spark, shot.path).filter("table_path like '%public.a'").first()
+    c = row["checksum"]
+    bad = spark.range(49).withColumn("v", F.when(F.col("id") == 7, -1).otherwise(F.col("id") * 2)).coalesce(1)
+    bad.write.parquet(str(tmp_path / "bad"))
+    part = next(n for n in os.listdir(tmp_path / "bad") if n.endswith(".parquet"))
+    blob = f"{home.store}/{c[0]}/{c[1]}/{c}".replace("file:", "")
+    os.replace(tmp_path / "bad" / part, blob)
+    spark.catalog.clearCache()
+    found = sn.damage(spark, shot.path, dump.read_from(home)).collect()
+    assert sorted((r["table_name"], r["first_key"], r["row_count"], r["found_count"]) for r in found) == [("public.a", 7, 1, 1), ("public.a", 49, 1, 0)]
