@@ -13,7 +13,8 @@ distinct (context, symbol) keys and words, with training counts, to buckets. A b
 all contexts with the same last two bytes, adds the counts of all blocks, and answers each
 block with the log probability of its keys (the total count of its words). Contexts of fewer
 than two bytes are a table of 65,536 counts, whatever the input. Answers hold no keys: a block
-finds them again in the same order. A block is one group, made by a hash of id and text, and
+finds them again in the same order. They hold each distinct double once and a code per key, so
+nothing is rounded on the way. A block is one group, made by a hash of id and text, and
 as large as its texts; counts are added per block before they are shuffled, so a frequent
 word or context is one entry per block.
 
@@ -25,7 +26,6 @@ rows. Without training texts every symbol costs 1/256.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +37,11 @@ from keepsake.session import settle
 END = 0xFF
 ORDER = 6
 BLOCK_BYTES = 16 << 20
-# Log probabilities travel as whole steps of 1/4096, rounded, down to 16.
-STEPS = 4096.0
 ALPHA = 0.1
 END_WORD = np.uint64(0)
 WORDS, GRAMS = 0, 1
 UNITS = "kind int, bucket int, block int, m int, keys binary, counts binary"
-ANSWERS = "kind int, bucket int, block int, answer binary, n long, v long"
+ANSWERS = "kind int, bucket int, block int, codes binary, k int, entries binary, n long, v long"
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double, n_bytes long"
@@ -86,18 +84,38 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray):
         yield i, j, np.append(tb.span_hashes(part, start, end), np.full(j - i, END_WORD)), np.append(text, np.arange(j - i))
 
 
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each stands there."""
+    if not len(ordered):
+        return ordered, np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[at], np.diff(np.append(at, len(ordered)))
+
+
+def counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of training texts with their counts, then those of the other texts with 0."""
+    found, n = runs(np.sort(values[train]))
+    other, _ = runs(np.sort(values[~train]))
+    return np.concatenate([found, other]), np.concatenate([n, np.zeros(len(other), np.int64)])
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a chunk in order, and the rank of every value among them."""
+    order = np.argsort(values)
+    found, n = runs(values[order])
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.repeat(np.arange(len(found), dtype=np.int32), n)
+    return found, rank
+
+
 def distinct(texts, train: np.ndarray, order: int):
     """Distinct sorted keys and words of a block with their training counts; memory is that of a chunk and the result."""
     data, offsets = tb.utf8(texts)
     data = tb.LOWER[data]
-    grams, words = [], []
-    for i, j, keys, _ in gram_chunks(data, offsets, order):
-        codes, found = pd.factorize(keys)
-        owner = np.repeat(np.arange(i, j), np.diff(offsets[i:j + 1]) + 1)
-        grams.append((found, np.bincount(codes, train[owner], len(found)).astype(np.int64)))
-    for i, j, hashes, text in word_chunks(data, offsets):
-        codes, found = pd.factorize(hashes)
-        words.append((found, np.bincount(codes, train[i + text], len(found)).astype(np.int64)))
+    grams = [
+        counted(keys, np.repeat(train[i:j], np.diff(offsets[i:j + 1]) + 1)) for i, j, keys, _ in gram_chunks(data, offsets, order)
+    ]
+    words = [counted(hashes, train[i + text]) for i, _, hashes, text in word_chunks(data, offsets)]
     return [tb.group_sums(*(np.concatenate(x) for x in zip(*part))) for part in (grams, words)]
 
 
@@ -112,6 +130,12 @@ def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def coded(values: np.ndarray) -> tuple[bytes, int, bytes]:
+    """A code per value, the number of distinct values, and those."""
+    entries, codes = np.unique(values, return_inverse=True)
+    return packed(codes.astype(np.uint32)), len(entries), packed(entries)
+
+
 def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     """Words by their hash, keys by the last two bytes of their context."""
     if kind == GRAMS:
@@ -242,8 +266,7 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
     by_block = docs.withColumn("block", block_of(n_blocks, "doc_id", "text"))
 
     def units(key, table):
-        train = ~table["held_out"].to_numpy()
-        grams, words = distinct(table["text"], train.astype(np.int64), order)
+        grams, words = distinct(table["text"], ~table["held_out"].to_numpy(), order)
         return send(key[0].as_py(), [(GRAMS, grams), (WORDS, words)], buckets)
 
     def reply(key, table):
@@ -254,15 +277,16 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
         counts = np.concatenate([unpacked(x, m, np.uint32) for x, m in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
         joined = np.concatenate(keys)
         found, total = tb.group_sums(joined, counts)
-        values = total if kind == WORDS else np.minimum(np.rint(-STEPS * log_probabilities(found, total, low, order)), 65535).astype(np.uint16)
+        values = total if kind == WORDS else log_probabilities(found, total, low, order)
         at = np.searchsorted(found, joined)
         ends = np.cumsum(sizes)
-        answers = [packed(values[at[e - m:e]]) for m, e in zip(sizes, ends)]
+        codes, sizes_of, entries = zip(*(coded(values[at[e - m:e]]) for m, e in zip(sizes, ends)))
         n, v = (int(total.sum()), int((total > 0).sum())) if kind == WORDS else (0, 0)
         m = len(blocks)
         return pa.table({
             "kind": pa.array([kind] * (m + 1), pa.int32()), "bucket": pa.array([key[1].as_py()] * (m + 1), pa.int32()),
-            "block": pa.array([-1, *blocks], pa.int32()), "answer": pa.array([b"", *answers], pa.binary()),
+            "block": pa.array([-1, *blocks], pa.int32()), "codes": pa.array([b"", *codes], pa.binary()),
+            "k": pa.array([0, *sizes_of], pa.int32()), "entries": pa.array([b"", *entries], pa.binary()),
             "n": pa.array([n] + [0] * m, pa.int64()), "v": pa.array([v] + [0] * m, pa.int64()),
         })
 
@@ -273,30 +297,34 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
 
     def score(key, texts, replies):
         held = texts["held_out"].to_numpy()
-        got = {(k, b): a for k, b, a in zip(*(replies[x].to_pylist() for x in ("kind", "bucket", "answer")))}
+        columns = ("kind", "bucket", "codes", "k", "entries")
+        got = {row[:2]: row[2:] for row in zip(*(replies[x].to_pylist() for x in columns))}
 
-        def values(kind: int, keys: np.ndarray, dtype) -> np.ndarray:
+        def answered(kind: int, parts, dtype) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct keys of all chunks and the answer to each."""
+            keys, _ = runs(np.sort(np.concatenate(parts)))
             order_, there, at = dealt(kind, keys, buckets)
             out = np.empty(len(keys), dtype)
-            out[order_] = np.concatenate([unpacked(got[kind, b], m, dtype) for b, m in zip(there.tolist(), np.diff(at).tolist())])
-            return out
+            for b, i, j in zip(there.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                codes, k, entries = got[kind, b]
+                out[order_[i:j]] = unpacked(entries, k, dtype)[unpacked(codes, j - i, np.uint32)]
+            return keys, out
 
-        grams, words = (part[0] for part in distinct(texts["text"], np.zeros(len(held), np.int64), order))
-        logs = values(GRAMS, grams, np.uint16) / -STEPS
-        counts = values(WORDS, words, np.int64)
-        base = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
         data, offsets = tb.utf8(texts["text"])
         data = tb.LOWER[data]
         scored, based, tokens, known = (np.zeros(len(held)) for _ in range(4))
-        for i, j, keys, first in gram_chunks(data, offsets, order):
-            codes, found = pd.factorize(keys)
-            scored[i:j] = np.add.reduceat(logs[np.searchsorted(grams, found)][codes], first)
-        for i, j, hashes, text in word_chunks(data, offsets):
-            codes, found = pd.factorize(hashes)
+        chunks = [(i, j, first, *ranked(keys)) for i, j, keys, first in gram_chunks(data, offsets, order)]
+        grams, logs = answered(GRAMS, [c[3] for c in chunks], np.float64)
+        for i, j, first, found, rank in chunks:
+            scored[i:j] = np.add.reduceat(logs[np.searchsorted(grams, found)][rank], first)
+        chunks = [(i, j, text, *ranked(hashes)) for i, j, hashes, text in word_chunks(data, offsets)]
+        words, counts = answered(WORDS, [c[3] for c in chunks], np.int64)
+        base = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
+        for i, j, text, found, rank in chunks:
             at = np.searchsorted(words, found)
             tokens[i:j] = np.bincount(text, minlength=j - i)
-            known[i:j] = np.bincount(text, (counts[at] > 0)[codes], j - i)
-            based[i:j] = np.bincount(text, base[at][codes], j - i)
+            known[i:j] = np.bincount(text, (counts[at] > 0)[rank], j - i)
+            based[i:j] = np.bincount(text, base[at][rank], j - i)
         return pa.table({
             "doc_id": texts["doc_id"].cast(pa.int64()), "held_out": texts["held_out"],
             "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(held), n, np.int64),

@@ -62,43 +62,60 @@ def test_spans_of_bytes():
     assert [j - i for i, j in tb.chunks(offsets)] == [3, 1, 1]
 
 
-def test_op1_base_and_model(spark, docs, none):
-    got = {(r.doc_id, r.n_bytes): r for r in ppm.ppm_scores(docs, order=3, block_bytes=20_000).collect()}
+def ppm_tables(train, order):
+    """How often each symbol followed each context of up to ``order`` bytes."""
+    tables = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in train:
+        s = b"\xff" * order + t + b"\xff"
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                tables[k][s[i - k:i]][s[i]] += 1
+    return tables
+
+
+def plain_ppm(tables, order, text):
+    s, known = b"\xff" * order + text + b"\xff", {}
+
+    def cost(context, symbol):
+        total, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            met = tables[k].get(context[order - k:], {})
+            seen = {a: c for a, c in met.items() if a not in excluded}
+            mass = sum(seen.values()) + len(seen)
+            if symbol in seen:
+                return total + math.log10(seen[symbol] / mass)
+            if seen:
+                total += math.log10(len(seen) / mass)
+            excluded |= set(met)
+        return total - math.log10(256 - len(excluded))
+
+    for i in range(order, len(s)):
+        key = s[i - order:i + 1]
+        if key not in known:
+            known[key] = cost(key[:order], key[order])
+    return math.fsum(known[s[i - order:i + 1]] for i in range(order, len(s)))
+
+
+@pytest.mark.parametrize("order, block", [(3, 20_000), (6, 1 << 20)])
+def test_op1_whole_table_against_plain_model(spark, docs, none, order, block):
+    got = {(r.doc_id, r.n_bytes): r for r in ppm.ppm_scores(docs, order=order, block_bytes=block).collect()}
     every = [(r[0], r[1] or "", r[5]) for r in rows()]
     counts = collections.Counter(w for _, t, h in every if not h for w in [*words(t), "\0end"])
     n, v = sum(counts.values()), len(counts)
+    tables = ppm_tables([t.translate(LOWER).encode() for _, t, h in every if not h], order)
     for doc_id, text, held in every:
         r = got[doc_id, len(text.encode())]
         tokens = [*words(text), "\0end"]
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), n, held)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score < 0
+        assert r.score == pytest.approx(plain_ppm(tables, order, text.translate(LOWER).encode()), rel=1e-9)
     assert ppm.ppm_scores(none).count() == 0
 
 
 def test_op1_is_ppm_with_exclusion():
     order, train, text = 3, [b"abracadabra", b"abrakadabra"], b"abrazca"
-    tables = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
-    for t in train:
-        s = b"\xff" * order + t + b"\xff"
-        for i in range(order, len(s)):
-            for k in range(order + 1):
-                tables[k][s[i - k:i]][s[i]] += 1
-    expected, s = 0.0, b"\xff" * order + text + b"\xff"
-    for i in range(order, len(s)):
-        excluded = set()
-        for k in range(order, -1, -1):
-            seen = {a: c for a, c in tables[k][s[i - k:i]].items() if a not in excluded}
-            total = sum(seen.values()) + len(seen)
-            if s[i] in seen:
-                expected += math.log10(seen[s[i]] / total)
-                break
-            if seen:
-                expected += math.log10(len(seen) / total)
-            excluded |= set(tables[k][s[i - k:i]])
-        else:
-            expected -= math.log10(256 - len(excluded))
+    expected = plain_ppm(ppm_tables(train, order), order, text)
     both = train + [text]
     data, offsets = np.frombuffer(b"".join(both), np.uint8), np.cumsum([0] + [len(t) for t in both])
     keys, first = ppm.keys_of(data, offsets, order)
