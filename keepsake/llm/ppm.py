@@ -16,7 +16,8 @@ than two bytes are a table of 65,536 counts, whatever the input. Answers hold no
 finds them again in the same order. They hold each distinct double once and a code per key, so
 nothing is rounded on the way. A block is one group, made by a hash of id and text, and
 as large as its texts; counts are added per block before they are shuffled, so a frequent
-word or context is one entry per block.
+word or context is one entry per block. Texts are shuffled once, for both of their uses, and
+nothing is written in between.
 
 Defined cases: a null text is empty and is scored as the end symbol alone. A null id is
 training. Rows with the same id or text are scored each for itself. An empty table gives no
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 
 from keepsake.llm import textblocks as tb
 from keepsake.llm.common import block_of, blocks_for, bytes_of
-from keepsake.session import settle
 
 END = 0xFF
 ORDER = 6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 ALPHA = 0.1
+HELD_WORDS = 1 << 21  # distinct words a task gathers before it passes them on
 END_WORD = np.uint64(0)
 WORDS, GRAMS = 0, 1
 UNITS = "kind int, bucket int, block int, m int, keys binary, counts binary"
-ANSWERS = "kind int, bucket int, block int, codes binary, k int, entries binary, n long, v long"
+ANSWERS = "kind int, bucket int, block int, codes binary, k int, entries binary"
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double, n_bytes long"
@@ -108,15 +109,25 @@ def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, rank
 
 
+def merged(parts, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all parts, added every few parts so that memory follows the result."""
+    held = []
+    for part in parts:
+        held.append(part)
+        if len(held) > step:
+            held = [tb.group_sums(*(np.concatenate(x) for x in zip(*held)))]
+    return tb.group_sums(*(np.concatenate(x) for x in zip(*held)))
+
+
 def distinct(texts, train: np.ndarray, order: int):
     """Distinct sorted keys and words of a block with their training counts; memory is that of a chunk and the result."""
     data, offsets = tb.utf8(texts)
     data = tb.LOWER[data]
-    grams = [
+    grams = (
         counted(keys, np.repeat(train[i:j], np.diff(offsets[i:j + 1]) + 1)) for i, j, keys, _ in gram_chunks(data, offsets, order)
-    ]
-    words = [counted(hashes, train[i + text]) for i, _, hashes, text in word_chunks(data, offsets)]
-    return [tb.group_sums(*(np.concatenate(x) for x in zip(*part))) for part in (grams, words)]
+    )
+    words = (counted(hashes, train[i + text]) for i, _, hashes, text in word_chunks(data, offsets))
+    return [merged(part) for part in (grams, words)]
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -165,25 +176,41 @@ def send(block: int, parts, buckets: int) -> pa.Table:
     })
 
 
-def low_counts(texts: DataFrame) -> np.ndarray:
-    """Training counts of symbol after byte: 256 x 256, whatever the input."""
+def low_counts(texts: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Of the training texts: counts of symbol after byte (256 x 256, whatever the input), all words, distinct words."""
+
+    def rows(pair: np.ndarray, word: np.ndarray, n: np.ndarray):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pair, pa.int32()), pa.array(word.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["pair", "word", "n"]
+        )
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total, held = np.zeros(1 << 16, np.int64), []
         for batch in batches:
             data, offsets = tb.utf8(batch.column(0))
             data = tb.LOWER[data]
             for i, j in tb.chunks(offsets):
                 keys, _ = keys_of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], 1)
                 total += np.bincount(keys.astype(np.int64), minlength=1 << 16)
+            held += [runs(np.sort(hashes)) for _, _, hashes, _ in word_chunks(data, offsets)]
+            if sum(len(found) for found, _ in held) > HELD_WORDS:
+                held = [tb.group_sums(*(np.concatenate(x) for x in zip(*held)))]
+                if len(held[0][0]) > HELD_WORDS // 2:
+                    yield rows(np.full(len(held[0][0]), -1), *held.pop())
+        if held:
+            found, n = tb.group_sums(*(np.concatenate(x) for x in zip(*held)))
+            yield rows(np.full(len(found), -1), found, n)
         pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair], pa.int64())], ["pair", "n"])
+        yield rows(pair, np.zeros(len(pair), np.uint64), total[pair])
 
-    rows = texts.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((256, 256), np.int64)
-    for pair, n in rows:
-        out[pair >> 8, pair & 255] = n
-    return out
+    sums = texts.mapInArrow(count, "pair int, word long, n long").groupBy("pair", "word").agg(F.sum("n").alias("n"))
+    out, words, known = np.zeros((256, 256), np.int64), 0, 0
+    for pair, n, v in sums.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        if pair < 0:
+            words, known = n, v
+        else:
+            out[pair >> 8, pair & 255] = n
+    return out, words, known
 
 
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
@@ -262,7 +289,7 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
     size = bytes_of(docs)
     n_blocks = blocks_for(size, block_bytes)
     buckets = max(16, n_blocks)
-    low = low_counts(docs.filter(~F.col("held_out")).select("text"))
+    low, n, v = low_counts(docs.filter(~F.col("held_out")).select("text"))
     by_block = docs.withColumn("block", block_of(n_blocks, "doc_id", "text"))
 
     def units(key, table):
@@ -281,19 +308,13 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
         at = np.searchsorted(found, joined)
         ends = np.cumsum(sizes)
         codes, sizes_of, entries = zip(*(coded(values[at[e - m:e]]) for m, e in zip(sizes, ends)))
-        n, v = (int(total.sum()), int((total > 0).sum())) if kind == WORDS else (0, 0)
-        m = len(blocks)
         return pa.table({
-            "kind": pa.array([kind] * (m + 1), pa.int32()), "bucket": pa.array([key[1].as_py()] * (m + 1), pa.int32()),
-            "block": pa.array([-1, *blocks], pa.int32()), "codes": pa.array([b"", *codes], pa.binary()),
-            "k": pa.array([0, *sizes_of], pa.int32()), "entries": pa.array([b"", *entries], pa.binary()),
-            "n": pa.array([n] + [0] * m, pa.int64()), "v": pa.array([v] + [0] * m, pa.int64()),
+            "kind": pa.array([kind] * len(blocks), pa.int32()), "bucket": pa.array([key[1].as_py()] * len(blocks), pa.int32()),
+            "block": pa.array(blocks, pa.int32()), "codes": pa.array(codes, pa.binary()),
+            "k": pa.array(sizes_of, pa.int32()), "entries": pa.array(entries, pa.binary()),
         })
 
-    sent = by_block.groupBy("block").applyInArrow(units, UNITS)
-    answers = settle(sent.groupBy("kind", "bucket").applyInArrow(reply, ANSWERS), "ppm-answers")
-    n, v = answers.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
-    n, v = n or 0, v or 0
+    answers = by_block.groupBy("block").applyInArrow(units, UNITS).groupBy("kind", "bucket").applyInArrow(reply, ANSWERS)
 
     def score(key, texts, replies):
         held = texts["held_out"].to_numpy()
@@ -331,4 +352,4 @@ def ppm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYT
             "base_score": based, "score": scored, "n_bytes": np.diff(offsets),
         })
 
-    return by_block.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(score, SCORES)
+    return by_block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
