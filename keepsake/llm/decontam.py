@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import textblocks as tb
-from keepsake.llm.common import block_of, blocks_for, bytes_of
+from keepsake.llm.common import block_of, blocks_for, bytes_of, unused
 from keepsake.session import settle
 
 WIDTH = 10
@@ -190,6 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ite
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window of the benchmark occurs."""
-    found = contamination(docs, benchmark, width).filter("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("content").alias("c"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("c"))
+    key, content = unused(docs.columns, "key"), unused(docs.columns, "content")
+    found = contamination(docs, benchmark, width).filter("n_hit > 0").select(F.col("doc_id").alias(key), F.col("content").alias(content))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(content))
     return docs.join(found, same, "left_anti")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import textblocks as tb
-from keepsake.llm.common import blocks_for, bytes_of, summed_slices
+from keepsake.llm.common import blocks_for, bytes_of, summed_slices, unused
 from keepsake.llm.components import components
 from keepsake.session import settle
 
@@ -392,9 +392,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     """
     docs = settle(docs, "linked-docs")
     linked = settle(link(docs, width, percent), "linked")
-    gone = settle(linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("d")).distinct(), "gone")
-    twice = settle(linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d")), "twice")
-    key = docs["doc_id"].cast("long")
-    kept = docs.join(gone, (key == F.col("d")) & F.col("text").isNotNull(), "left_anti")
-    repeated = (key == F.col("d")) & F.col("text").isNotNull()
+    other = unused(docs.columns, "other")
+    gone = settle(linked.filter("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct(), "gone")
+    twice = settle(linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(other)), "twice")
+    repeated = (F.col("doc_id").cast("long") == F.col(other)) & F.col("text").isNotNull()
+    kept = docs.join(gone, repeated, "left_anti")
     return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

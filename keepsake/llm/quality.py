@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import textblocks as tb
-from keepsake.llm.common import summed_slices
+from keepsake.llm.common import summed_slices, unused
 
 WORDS = 1 << 15
 SIZE = 32
@@ -178,26 +178,28 @@ def train(docs: DataFrame, labels: DataFrame, learn, vectors: np.ndarray, sample
     """Network from the labelled rows that satisfy ``learn`` (a condition on doc_id), at most ``sample`` ids."""
     known = labels.filter(learn).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
     known = known.select("doc_id", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text", "doc_id")
 
     def run(batches):
         for batch in batches:
             rows = pooled(batch.column(1), vectors).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(2)], ["label", "x", "doc_id"])
 
-    got = picked.mapInArrow(run, "label double, x binary").limit(2 * sample).toArrow()
+    # one row an id: of different texts under one id the one whose features come first
+    rows = picked.mapInArrow(run, picked.select("label", F.lit(b"").alias("x"), "doc_id").schema)
+    got = rows.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("row")).select("row.*").toArrow()
     y = got["label"].to_numpy()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(y), FEATURES).astype(np.float64)
     order = np.lexsort(np.column_stack([x, y]).T)  # independent of the order rows arrive in
     return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn, columns: list[str], sample: int = SAMPLE) -> DataFrame:
-    """``columns`` of ``docs`` and ``score``, the probability of label 1."""
+def score(docs: DataFrame, labels: DataFrame, learn, columns: list[str], sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` and ``score`` (or another ``name``), the probability of label 1."""
     vectors = word_vectors(docs)
     model = train(docs, labels, learn, vectors, sample)
-    inputs = docs.select(*columns, F.col("text").alias("_text_scored"))
-    schema = inputs.drop("_text_scored").withColumn("score", F.lit(0.0)).schema
+    inputs = docs.select(*(f"`{c}`" for c in columns), F.col("text").alias(unused([*columns, name], "scored_text")))
+    schema = docs.select(*(f"`{c}`" for c in columns), F.lit(0.0).alias(name)).schema
 
     def run(batches):
         for batch in batches:
@@ -210,4 +212,5 @@ def score(docs: DataFrame, labels: DataFrame, learn, columns: list[str], sample:
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that reach the threshold."""
-    return score(docs, labels, learn, docs.columns).filter(F.col("score") >= threshold).drop("score")
+    name = unused(docs.columns, "score")
+    return score(docs, labels, learn, docs.columns, name=name).filter(F.col(name) >= threshold).drop(name)

@@ -134,6 +134,27 @@ def test_op1_is_ppm_with_exclusion():
     assert p[(every >> np.uint64(8)) == context].sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_op2_rows_of_one_id_are_judged_each(spark, doc_id):
+    shared = "a notice on every site"
+    lines = [(doc_id, f"own line {i}\n{shared}", "en", f"s{i}", 1, False, "n") for i in range(8)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(lines, DOCS)).collect()
+    assert sorted((r.source, r.n_removed) for r in got) == [(f"s{i}", int(i > 0)) for i in range(8)]
+    alike = [(doc_id, shared, "en", f"s{i}", 1, False, "n") for i in range(8)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(alike, DOCS)).collect()
+    assert sorted((r.source, r.text) for r in got) == [(f"s{i}", "" if i else shared) for i in range(8)]
+
+
+def test_op2_long_texts_of_boilerplate(spark):
+    many = [f"notice {k}" for k in range(30_000)]
+    texts = ["\n".join(["own start", *many, "", f"own end {i}"]) for i in range(6)]
+    frame = spark.createDataFrame([(i, t, "en", f"s{i}", 1, False, "n") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(frame).collect()}
+    assert got[0].text == texts[0] and got[0].n_removed == 0
+    # "own start" stands on all six sites too
+    assert all(got[i].text == f"\nown end {i}" and got[i].n_removed == 30_001 for i in range(1, 6))
+
+
 def test_op2_boilerplate_lines(spark, docs, none):
     lines = [(i, f"own line number {i}\nshared on many sites here", "en", f"s{i % 6}" if i else None, 1, False, "n") for i in range(12)]
     lines += [(100, None, "en", None, 1, False, "n"), (101, "", "en", "s1", 1, False, "n"), (12, "shared on many sites here\n  shared on many sites here ", "en", "s9", 1, False, "n")]
@@ -224,6 +245,12 @@ def test_op6_learns_and_is_calibrated(spark, none):
     apart = [r for r in scored if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in apart]) > 0.95
     assert quality.score(none, frame.select("doc_id", "quality"), learn, ["doc_id"]).count() == 0
+    again = frame.select("doc_id", "text").union(frame.selectExpr("doc_id", "concat(text, ' more')"))
+    a, b = (sorted(r.score for r in quality.score(x, frame.select("doc_id", "quality"), learn, ["doc_id"], sample=40).collect())
+            for x in (again, again.orderBy(F.desc("text"))))
+    assert a == pytest.approx(b, rel=1e-9)
+    named = quality.keep_good(frame.selectExpr("*", "1 as score"), frame.select("doc_id", "quality"), learn, 0.0)
+    assert named.columns == [*frame.columns, "score"] and named.filter("score = 1").count() == len(made)
     only = quality.score(frame.select("doc_id", "text"), frame.filter("quality = 5").select("doc_id", "quality"), learn, ["doc_id"])
     assert {r.score for r in only.collect()} == {0.5}
 

@@ -73,3 +73,34 @@ def test_stages_take_empty_tables(spark):
     for name, stage in pipeline.STAGES:
         docs = settle(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = settle(queries.read(spark, SF, "documents"), "plain")
+    names = ["c", "d", "gone", "score", "c0", "n_removed", "n_lines", "content", "key", "place", "spot", "other", "row", "label", "x", "scored_text"]
+    wide = settle(docs.selectExpr("*", *(f"concat('{n}', doc_id) as {n}" for n in names)), "wide")
+    for name, stage in pipeline.STAGES:
+        docs, wide = settle(stage(spark, docs, SF), name), settle(stage(spark, wide, SF), name)
+        if name == "mixing":
+            names = []
+        assert wide.columns == docs.columns + names
+        assert sorted(map(repr, wide.select(*docs.columns).collect())) == sorted(map(repr, docs.collect())), name
+        assert not names or wide.filter(" or ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_long_texts(spark):
+    """Null and repeated ids, null and empty texts, rows alike, and a text of one word 20,000 times."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    some = settle(queries.read(spark, SF, "documents").limit(60), "some")
+    odd = some.selectExpr("cast(null as bigint) as doc_id", "concat('no id ', text) as text", "lang", "cast(null as string) as source", "n_chars")
+    odd = odd.union(some.selectExpr("7 as doc_id", "cast(null as string) as text", "lang", "source", "cast(null as bigint) as n_chars"))
+    odd = odd.union(some.selectExpr("8 as doc_id", "''", "lang", "source", "0")).union(some.selectExpr("doc_id", "text", "lang", "source", "n_chars"))
+    odd = odd.union(some.limit(1).selectExpr("900001 as doc_id", "repeat('word ', 20000)", "lang", "source", "100000"))
+    docs = settle(some.select("doc_id", "text", "lang", "source", "n_chars").union(odd), "odd")
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, settle(stage(spark, docs, SF), name)
+        assert 0 < docs.count() <= before.count()
+        if name not in ("quality", "mixing"):
+            nulls = "text is null"
+            assert docs.filter(nulls).count() == before.filter(nulls).count()
