@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import decontam, jaccard, line_dedup, mixing, quality
-from keepsake.llm.common import held_out, prepare, read
+from keepsake.llm.common import held_out, prepare, read, unused
 from keepsake.session import settle
 
 # The classifier and the two dedup stages can't be said in SQL; tests/llm holds the pipeline against a plain version.
@@ -35,9 +35,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    cut = line_dedup.drop_boilerplate(docs).filter("n_removed = 0 or trim(text) <> ''")
+    lines, removed = unused(docs.columns, "n_lines"), unused(docs.columns, "n_removed")
+    cut = line_dedup.drop_boilerplate(docs, counts=(lines, removed)).filter((F.col(removed) == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
