@@ -27,6 +27,9 @@ texts are cut, never dropped; an empty table gives no rows. Other columns are no
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
+# The same as code points; the end of a line stays, as it stands between units.
+LETTERS = np.array([0x0A if b == 0x0A else ord(c) for b, c in enumerate(byte_letters())], "<u4")
+TOKEN_ID = attrgetter("id")
+
+
 class Units:
     """Token ids of units, each tokenised once; the memory is emptied when it holds too many.
 
@@ -88,36 +96,50 @@ class Units:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.model = self.tokenizer.model
         self.place: dict[bytes, int] = {}
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, unit: bytes) -> list[int]:
-        text = unit.decode().lower()
-        if not text.isascii():
-            text = "".join([self.letters[b] for b in text.encode()])
-        return [t.id for t in self.model.tokenize(text)]
-
-    def learn(self, units: list[bytes]) -> None:
-        new = [u for u in units if u not in self.place]
-        if len(self.place) + len(new) > KNOWN_UNITS and self.place:
-            self.place, new = {}, units
+    def plain(self, units: list[bytes]) -> Iterator[list[int]]:
+        # all in lower case, and as the letters of their bytes, at once: no unit has white space, and no plain
+        # letter's lower case depends on its neighbours
+        lower = b"\n".join(units).decode().lower().encode()
+        texts = LETTERS[np.frombuffer(lower, np.uint8)].tobytes().decode("utf-32-le").split("\n") if units else []
+        tokenize = self.model.tokenize
+        return (list(map(TOKEN_ID, tokenize(x))) for x in texts)
+
+    def places(self, units: list[bytes]) -> np.ndarray:
+        """The number of each of different units; new ones are tokenised."""
+        found = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        fresh = np.flatnonzero(found < 0)
+        if len(self.place) + len(fresh) > KNOWN_UNITS and self.place:
+            self.place, fresh = {}, np.arange(len(units))
             self.start, self.length, self.ids = self.start[:0], self.length[:0], self.ids[:0]
+        if len(fresh):
+            found[fresh] = len(self.start) + np.arange(len(fresh))
+            self.learn([units[k] for k in fresh.tolist()])
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
+        lengths, flat = [], []
         for k in range(0, len(new), AT_ONCE):
             some = new[k:k + AT_ONCE]
             at = np.cumsum([0, *map(len, some)])
             counted = np.concatenate(([0], np.cumsum(hard_bytes(np.frombuffer(b"".join(some), np.uint8)))))[at]
             whole = (counted[1:] > counted[:-1]).tolist()
             found = iter(self.encode([u.decode("utf-8", "replace") for u, w in zip(some, whole) if w]))
-            ids = [next(found) if w else self.plain(u) for u, w in zip(some, whole)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.place.update(zip(some, range(len(self.start), len(self.start) + len(some))))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
+            cut = self.plain([u for u, w in zip(some, whole) if not w])
+            ids = [next(found) if w else next(cut) for w in whole]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        length = np.concatenate(lengths)
+        self.place.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, *flat])
 
 
 def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -144,20 +166,27 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
     return units.dictionary_encode(), np.repeat(owner, size)[at]
 
 
+def values_of(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without nulls, cut from its bytes at once."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else [0]
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def tokens_by_word(known: Units, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each with the end id, and their offsets."""
     units, owner = units_of(data, offsets)
-    distinct = units.dictionary.to_pylist()
-    known.learn(distinct)
-    place = np.fromiter((known.place[u] for u in distinct), np.int64, len(distinct))[units.indices.to_numpy()]
-    length = known.length[place]
+    number = known.places(values_of(units.dictionary))
+    found = units.indices.to_numpy()
+    length = known.length[number][found]
     n = len(offsets) - 1
     per_text = np.bincount(owner, weights=length, minlength=n).astype(np.int64) + 1
     ends = np.cumsum(per_text)
     out = np.full(ends[-1] if n else 0, end, np.uint32)
     body = np.ones(len(out), bool)
     body[ends - 1] = False
-    out[body] = known.ids[runs_of(known.start[place], length)]
+    out[body] = known.ids[runs_of(known.start[number][found], length)]
     return out, np.concatenate(([0], ends))
 
 

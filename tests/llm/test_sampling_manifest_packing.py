@@ -171,6 +171,25 @@ def test_op13_ids_are_the_tokenizers(spark, docs):
             assert all(len(got[i][k]) == 64 for k in range(len(got[i]) - 1))
 
 
+def test_op13_units_are_looked_up_once_and_tokenised_in_batches(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_UNITS", 12)
+    texts = ["Älter Straße naïve-Ōsaka don't 42 ¡hola! ÿÉ", "", "Straße again, AGAIN Ǆ x" + "y" * 300, "日本 “q” a\u0301b Straße 42"] * 2 + ["one two three four", "five six seven eight nine ten eleven"]
+    t = tokenizer()
+    for many in (1, 3, len(texts)):
+        known, learnt, lookups = packing.Units(t.to_str()), [], []
+        monkeypatch.setattr(known, "learn", lambda new, f=known.learn: (learnt.extend(new), f(new)))
+        monkeypatch.setattr(known, "places", lambda units, f=known.places: (lookups.append(units), f(units))[1])
+        for k in range(0, len(texts), many):
+            some = [x.encode() for x in texts[k:k + many]]
+            data, at = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+            ids, ends = packing.tokens_by_word(known, data, at, 0)
+            want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts[k:k + many]]
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+        # a chunk asks once for its different units, and the memory was emptied on the way
+        assert len(lookups) == -(-len(texts) // many) and all(len(set(u)) == len(u) for u in lookups)
+        assert len(known.place) == len(known.start) <= max(12, max(map(len, lookups))) and (many > 3 or len(learnt) > len(known.place))
+
+
 def plain_best_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
