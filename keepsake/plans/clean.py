@@ -106,7 +106,8 @@ def apply_clean(home: Home, now, worker: int = 0, deleted=retention.DELETED_JOB_
         if removable.limit(1).count():
             home.say("INFO", "clean", now, f"removed {removable.count()} dumps", "CLEAN", -1, worker)
 
-    indexed = [r["path"] for r in gone.toLocalIterator() if vault.is_indexed(spark, r["path"])]
+    # most dumps of a catalog may have no manifest here: they are looked up by tasks, and only those that have one are named
+    indexed = [r["path"] for r in settle(vault.indexed(gone), "indexed").toLocalIterator()]
     for name, step in zip(STEPS, (mark, unlink, blobs, drop_folders, rows, message)):
         step()
         if name == stop_after:

@@ -122,6 +122,19 @@ def each(listed: DataFrame, act) -> None:
     spread(listed).mapInArrow(run, "done int").write.format("noop").mode("append").save()
 
 
+def holding(listed: DataFrame, inside: str) -> DataFrame:
+    """(path) of the folders of a listing that have a file of this name; tasks look, so that the session need not ask for each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [p for p in batch.column("path").to_pylist() if exists(f"{p}/{inside}")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    return spread(listed.select("path").distinct()).mapInArrow(run, "path string")
+
+
 def checksums(listed: DataFrame) -> DataFrame:
     """(path, checksum, size) of a listing ``path, size``: every file is streamed, whatever its size."""
 

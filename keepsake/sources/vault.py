@@ -23,8 +23,16 @@ from keepsake.sources import folders, snapshots, taskfiles
 FILES_SCHEMA = "table_path string, path string, checksum string, size bigint"
 
 
+INDEXED = "files/_SUCCESS"
+
+
 def is_indexed(spark: SparkSession, snapshot: str) -> bool:
-    return folders.exists(spark, f"{snapshot}/files/_SUCCESS")
+    return folders.exists(spark, f"{snapshot}/{INDEXED}")
+
+
+def indexed(found: DataFrame) -> DataFrame:
+    """(path) of the snapshots of a listing that have a manifest, each once."""
+    return taskfiles.holding(found, INDEXED)
 
 
 def is_complete(spark: SparkSession, snapshot: str) -> bool:

@@ -197,3 +197,20 @@ def test_damage_of_a_stored_snapshot_is_located(spark, tmp_path):
     spark.catalog.clearCache()
     found = sn.damage(spark, shot.path, dump.read_from(home)).collect()
     assert sorted((r["table_name"], r["first_key"], r["row_count"], r["found_count"]) for r in found) == [("public.a", 7, 1, 1), ("public.a", 49, 1, 0)]
+
+
+def test_dumps_without_manifest_are_not_asked_for_one_by_one(spark, tmp_path, monkeypatch):
+    home = home_with_jobs(spark, tmp_path, keep_daily=0)
+    shot = sn.snapshot_write(spark, {"d": tables(spark)}, home.root, sn.DumpJob(1, "d"), T0)
+    home.take_in(shot.path)
+    place, name = shot.path.rsplit("/", 1)
+    old = [(n, 1, T0, place, name if n == 1 else f"dump {n}%20_{n}", "SUCCESS", "NO") for n in range(1, 400)] + [(1, 1, T0, place, name, "SUCCESS", "NO")]
+    home.put("catalog", conform(spark.createDataFrame(old, "id int, dumpjob_id int, starttime timestamp_ntz, bu_location string, bu_name string, status string, keep string"), "catalog"))
+    asked = []
+    exists = clean.vault.folders.exists
+    monkeypatch.setattr(clean.vault.folders, "exists", lambda s, path: (asked.append(path), exists(s, path))[1])
+    removed = clean.apply_clean(home, T0 + dt.timedelta(days=9))
+    # a restore job names dump 99
+    assert removed.count() == 399 and len(asked) < 50
+    assert column(home, "catalog", "id") == {99: 99} and not os.path.exists(shot.path)
+    assert vault.blobs(spark, home.store).count() == 0 and linkcounts.counts(spark, home.links).count() == 0
