@@ -37,13 +37,16 @@ def site() -> Column:
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """Row key, site, line number and line hash of every line long enough to judge."""
     line = F.trim(F.col("line"))
+    judged = F.col("line").rlike(r"\S")
+    if min_words > 1:  # one word a line that is not blank has
+        judged &= F.size(F.split(line, r"\s+")) >= min_words
     return (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"),
             site().alias("site"),
             F.posexplode(F.split("text", "\n")).alias("at", "line"),
         )
-        .filter(F.col("line").rlike(r"\S") & (F.size(F.split(line, r"\s+")) >= min_words))
+        .filter(judged)
         .select("doc_id", "content", "site", "at", F.xxhash64(line).alias("h"))
     )
 
