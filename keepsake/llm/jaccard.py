@@ -12,10 +12,12 @@ too many of each other's marks. Candidates are verified on their whole sets.
 Equal sets are one class from the start (its key is a 64-bit sum over the set), so copies never
 meet in pairs. Linked classes are joined in rounds. In each of the first, in the lists of every
 eighth shared shingle (others each time), all classes are compared with the first and the last
-of the list (in another order each time), unless they are in one component already: a large
-group of near copies grows together by a few links each. Then all lists are taken, but only
-pairs whose ends are still in different components are candidates; they are the only ones that
-can change the result. Long lists meet block by block, so no task holds a whole one. Nothing is
+of the list (in another order each time), unless their labels say that they hang together: a
+large group of near copies grows together by a few links each. Labels are spread along a round's
+links by two steps; where they differ they say nothing, so that only the end asks for exact
+components. The rounds end when one finds few links. Then all lists are taken, but only pairs
+whose ends still have different labels are candidates; they are the only ones that can change
+the result. Long lists meet block by block, so no task holds a whole one. Nothing is
 left out, and a group is not expanded into its pairs.
 
 Prefixes travel packed, a list per task and bucket. The frequency table has ``COUNTERS``
@@ -29,6 +31,8 @@ without an id get the component of equal sets with an id, else null. An empty ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -49,6 +53,7 @@ FLUSH = 1 << 20
 MOST = 3
 ANCHOR = 8
 ROUNDS = 4
+FEW = 16
 SKETCH = 16
 BLOCK = 2048
 PART_ROWS = 1 << 16
@@ -211,12 +216,13 @@ def shared_prefixes(docs: DataFrame, often: np.ndarray, buckets: int, width: int
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of candidate pairs ``a, b`` (classes) those that are similar enough; ``texts(cls, text)``."""
+    """Of candidate pairs ``a, b`` (classes) those that are similar enough, with their other columns; ``texts(cls, text)``."""
+    names = pairs.columns
 
     def check(batches):
         for batch in batches:
             rows = []
-            for column in (2, 3):
+            for column in (-2, -1):
                 sets = []
                 for i, j, found, owner, sizes, _ in sets_of(batch.column(column), width):
                     sets += np.split(found, np.cumsum(sizes)[:-1])
@@ -225,12 +231,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for x, y in zip(*rows):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long")
+    joined = pairs.join(one, "a").join(other, "b").select(*names, "text_a", "text_b")
+    return joined.mapInArrow(check, pairs.schema)
 
 
 def alike(n: str, m: str, percent: int):
@@ -309,28 +315,31 @@ def across_components(dealt: DataFrame, percent: int) -> DataFrame:
     ).filter("shared >= ask and shared + beyond >= need").select("a", "b")
 
 
-def star_pairs(rows: DataFrame, labels: DataFrame | None, number: int, percent: int) -> DataFrame:
-    """Pairs of a class and the ends of its lists, in an order of classes of this round's own, across components."""
+def star_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs of a class and the ends of its lists, in an order of classes of this round's own, with their different labels."""
     taken = rows.filter(F.pmod(F.xxhash64("token", F.lit(number)), F.lit(ANCHOR)) == 0)
-    if labels is None:
-        taken = taken.withColumn("component", F.col("cls"))
-    else:
-        taken = taken.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     me = F.struct(F.xxhash64("cls", F.lit(number)).alias("place"), "cls", "n", "component")
     lists = taken.groupBy("token").agg(
         F.min(me).alias("low"), F.max(me).alias("high"), F.min("component").alias("lo"), F.max("component").alias("hi")
     ).filter("lo < hi").select("token", "low", "high")
     met = taken.join(lists, "token").select("token", "cls", "n", "component", F.explode(F.array_distinct(F.array("low", "high"))).alias("e"))
     met = met.filter("e.component <> component").filter(alike("n", "e.n", percent)).groupBy(
-        F.least("cls", "e.cls").alias("a"), F.greatest("cls", "e.cls").alias("b")).agg(
+        F.least("cls", "e.cls").alias("a"), F.greatest("cls", "e.cls").alias("b"),
+        F.least("component", "e.component").alias("la"), F.greatest("component", "e.component").alias("lb")).agg(
         F.count_distinct("token").alias("met"), F.min(F.least("n", "e.n")).alias("n"))
     # a guess from the lists taken; what it leaves out is left to the last round
-    return met.filter(2 * ANCHOR * (100 + percent) * F.col("met") >= (100 - percent) * percent * F.col("n") / 100).select("a", "b")
+    return met.filter(2 * ANCHOR * (100 + percent) * F.col("met") >= (100 - percent) * percent * F.col("n") / 100).select("a", "b", "la", "lb")
+
 
+def spread(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``cls, n, component``: each label becomes the lowest one at most two links ``la, lb`` away.
 
-def labels_as_links(labels: DataFrame) -> DataFrame:
-    """Links ``a, b`` that hang together the same classes: each with the lowest of its component."""
-    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    Equal labels are of classes that hang together, whatever the number of steps.
+    """
+    sides = found.select(F.col("la").alias("x"), F.col("lb").alias("y")).union(found.select("lb", "la"))
+    near = sides.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
+    far = sides.join(near.withColumnRenamed("x", "y"), "y").groupBy(F.col("x").alias("component")).agg(F.min("m").alias("m"))
+    return labels.join(far, "component", "left").select("cls", "n", F.coalesce("m", "component").alias("component"))
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -352,34 +361,31 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
                   (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).select("cls", "text"),
         "texts",
     )
-    rows = shared.join(classes.select("cls", "n", "doc_id"), "cls")
-
-    # each round goes on from the components of the one before, and one that finds no link ends them
-    labels = None
+    # each round goes on from the labels of the one before, and one that finds few links ends them
+    labels = classes.select("cls", "n", F.col("cls").alias("component"))
+    links, total = [], 0
     for r in range(ROUNDS):
-        star = star_pairs(rows, labels, r, percent)
-        found = settle(verified(settle(star, "star"), texts, width, percent), "links")
-        if not found.limit(1).count():
+        star = settle(star_pairs(shared.join(labels, "cls"), r, percent), "star")
+        found = settle(verified(star, texts, width, percent), "links")
+        links.append(found.select("a", "b"))
+        count = found.count()
+        if FEW * count <= total:
             break
-        joined = labels_as_links(labels).union(found) if labels is not None else found
-        labels = settle(components(joined), "labels")
+        total += count
+        labels = settle(spread(labels, found), "labels")
 
-    if labels is None:
-        labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    marked = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "token", "cls", "n", "ask", F.coalesce("component", "cls").alias("component"))
+    marked = shared.join(labels, "cls").select("token", "cls", "n", "ask", "component")
     dealt = in_parts(settle(marked, "marked"), buckets).join(classes.select("cls", "bits"), "cls")
-    across = across_components(dealt, percent)
-    second = verified(across, texts, width, percent)
+    links.append(verified(across_components(dealt, percent), texts, width, percent))
 
     ids = classes.select("cls", "doc_id")
-    links = labels_as_links(labels).union(second).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = reduce(DataFrame.union, links).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # ids of one class and rows of one id hang together too
     lowest = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     own = sets.filter("cls is not null").join(lowest, "cls").select("doc_id", "n", "low")
     twice = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi")
     links = links.union(twice.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    final = settle(components(links), "components")
+    final = components(links)
     alone = sets.filter("cls is null").select("doc_id", "n", F.col("doc_id").alias("low"))
     return own.union(alone).join(final, F.col("low") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "low").alias("component_id"))

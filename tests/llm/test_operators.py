@@ -424,6 +424,57 @@ def test_op10_pairs_across_components(spark, monkeypatch, block):
     assert jaccard.across_components(dealt, 75).count() == 0
 
 
+def near_copies():
+    """Three groups of near copies, chains of texts that each differ a little from the one before, and texts of their own."""
+    rng = np.random.default_rng(23)
+    made = []
+    for g in range(3):
+        for _ in range(25):
+            w = [f"g{g}-{k}" for k in range(100)]
+            for k in rng.integers(0, 100, rng.integers(0, 4)):
+                w[k] = f"e{len(made)}"
+            made.append(w)
+    for c in range(2):
+        made += [[f"c{c}-{k}" for k in range(6 * i, 6 * i + 100)] for i in range(20)]
+    made += [[f"s{i}-{k}" for k in range(40)] for i in range(20)]
+    return [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(made)), made)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_op10_rounds_decide_cost_only(spark, monkeypatch, rounds):
+    prepare(spark)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    made = near_copies()
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(frame).collect()) == plain_components(made)
+
+
+def test_op10_steps(spark, monkeypatch):
+    """Rounds ask for no exact components, which are found once."""
+    prepare(spark)
+    steps = collections.Counter()
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "settle", lambda df, purpose, f=module.settle: (steps.update([purpose]), f(df, purpose))[1])
+    jaccard.link(spark.createDataFrame(near_copies(), "doc_id long, text string"))
+    assert steps["star"] >= 1 and steps["edges"] <= 6 and sum(steps.values()) <= 25, steps
+
+
+def test_op10_spread_labels(spark):
+    labels = spark.createDataFrame([(k, 9, k // 2 * 2) for k in range(12)], "cls long, n long, component long")
+    found = spark.createDataFrame([(4, 6), (2, 6), (6, 8)], "la long, lb long")
+    got = {r.cls: r.component for r in jaccard.spread(labels, found).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2, 7: 2, 8: 2, 9: 2, 10: 10, 11: 10}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(components, "settle", lambda df, purpose, f=components.settle: (steps.append(purpose), f(df, purpose))[1])
+    edges = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(1, 4), (None, 5)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {i: i % 3 for i in range(30)}
+    assert steps == ["edges"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
