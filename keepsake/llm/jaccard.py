@@ -53,7 +53,7 @@ FLUSH = 1 << 20
 MOST = 3
 ANCHOR = 8
 ROUNDS = 4
-FEW = 16
+FEW = 128
 SKETCH = 16
 BLOCK = 2048
 PART_ROWS = 1 << 16
