@@ -18,7 +18,12 @@ links by two steps; where they differ they say nothing, so that only the end ask
 components. The rounds end when one finds few links. Then all lists are taken, but only pairs
 whose ends still have different labels are candidates; they are the only ones that can change
 the result. Long lists meet block by block, so no task holds a whole one. Nothing is
-left out, and a group is not expanded into its pairs.
+left out, and a group is not expanded into its pairs. A pair that was found not similar is
+no candidate again.
+
+Texts stay where the documents are: each check reads the documents and shuffles only those
+that ``MARKS`` bits, set by the ids of the candidates' documents, let through. Their number is
+fixed, so with very many candidates more texts travel than are needed; the result is the same.
 
 Prefixes travel packed, a list per task and bucket. The frequency table has ``COUNTERS``
 entries, whatever the input: shingles share entries, so it tells common passages from the
@@ -58,6 +63,7 @@ SKETCH = 16
 BLOCK = 2048
 PART_ROWS = 1 << 16
 PAIRS = 1 << 17
+MARKS = 1 << 24
 SETS = "doc_id long, content long, n long, cls long, bits array<long>, slice int, part int, counters binary"
 
 
@@ -215,8 +221,19 @@ def shared_prefixes(docs: DataFrame, often: np.ndarray, buckets: int, width: int
     return sent.groupBy("bucket").applyInArrow(meet, "token long, cls long, ask int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of candidate pairs ``a, b`` (classes) those that are similar enough, with their other columns; ``texts(cls, text)``."""
+def marked(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Documents with the ids of ``ends``, and few others: bits of a fixed number go to all tasks, in words of 64."""
+    place, bit = f"pmod(xxhash64(doc_id), {MARKS}L)", "cast(place & 63 as int)"
+    words = ends.select(F.expr(place).alias("place")).groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("marks"))
+    placed = docs.withColumn("place", F.expr(place))
+    return placed.join(F.broadcast(words), F.expr(f"word = shiftright(place, 6) and getbit(marks, {bit}) = 1"), "left_semi").drop("place")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs ``a, b`` (classes) and their other columns, and whether they are ``similar`` enough.
+
+    ``classes(cls, doc_id, content)`` tells the document of a class. ``pairs`` and ``docs`` are read more than once.
+    """
     names = pairs.columns
 
     def check(batches):
@@ -231,12 +248,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for x, y in zip(*rows):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+            yield batch.select(names).append_column("similar", pa.array(good, pa.bool_()))
 
-    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(other, "b").select(*names, "text_a", "text_b")
-    return joined.mapInArrow(check, pairs.schema)
+    keys = classes.select("cls", "doc_id", "content")
+    near = marked(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(keys, "cls"))
+    joined = pairs.join(keys.toDF("a", "id_a", "content_a"), "a").join(keys.toDF("b", "id_b", "content_b"), "b")
+    for end in "ab":
+        text = near.select(F.col("doc_id").alias(f"id_{end}"), F.col("content").alias(f"content_{end}"), F.col("text").alias(f"text_{end}"))
+        joined = joined.join(text, [f"id_{end}", f"content_{end}"])
+    kinds = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in pairs.schema)
+    return joined.select(*names, "text_a", "text_b").mapInArrow(check, f"{kinds}, similar boolean")
 
 
 def alike(n: str, m: str, percent: int):
@@ -343,7 +364,10 @@ def spread(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row; links are pairs of ``percent`` or more."""
+    """``doc_id, n_shingles, component_id`` of every row; links are pairs of ``percent`` or more.
+
+    ``docs`` is read again in each round, so it should be a table.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     buckets = max(16, blocks_for(bytes_of(docs), bucket_bytes))
     described = describe(docs, width)
@@ -356,17 +380,18 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     classes = settle(
         classes.join(shared.select("cls").distinct(), "cls", "left_semi").filter("first is not null").select("cls", "first.*", "n", "bits"), "classes",
     )
-    texts = settle(
-        docs.join(classes.select("cls", F.col("doc_id").alias("d"), F.col("content").alias("c")),
-                  (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).select("cls", "text"),
-        "texts",
-    )
     # each round goes on from the labels of the one before, and one that finds few links ends them
     labels = classes.select("cls", "n", F.col("cls").alias("component"))
-    links, total = [], 0
+    links, failed, total = [], [], 0
+
+    def untried(pairs):
+        return pairs.join(reduce(DataFrame.union, failed), ["a", "b"], "left_anti") if failed else pairs
+
     for r in range(ROUNDS):
-        star = settle(star_pairs(shared.join(labels, "cls"), r, percent), "star")
-        found = settle(verified(star, texts, width, percent), "links")
+        star = settle(untried(star_pairs(shared.join(labels, "cls"), r, percent)), "star")
+        judged = settle(verified(star, classes, docs, width, percent), "links")
+        found = judged.filter("similar")
+        failed.append(judged.filter("not similar").select("a", "b"))
         links.append(found.select("a", "b"))
         count = found.count()
         if FEW * count <= total:
@@ -374,9 +399,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
         total += count
         labels = settle(spread(labels, found), "labels")
 
-    marked = shared.join(labels, "cls").select("token", "cls", "n", "ask", "component")
-    dealt = in_parts(settle(marked, "marked"), buckets).join(classes.select("cls", "bits"), "cls")
-    links.append(verified(across_components(dealt, percent), texts, width, percent))
+    parted = shared.join(labels, "cls").select("token", "cls", "n", "ask", "component")
+    dealt = in_parts(settle(parted, "marked"), buckets).join(classes.select("cls", "bits"), "cls")
+    pairs = settle(untried(across_components(dealt, percent)), "pairs")
+    links.append(verified(pairs, classes, docs, width, percent).filter("similar").select("a", "b"))
 
     ids = classes.select("cls", "doc_id")
     links = reduce(DataFrame.union, links).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

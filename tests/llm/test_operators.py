@@ -459,6 +459,30 @@ def test_op10_steps(spark, monkeypatch):
     assert steps["star"] >= 1 and steps["edges"] <= 6 and sum(steps.values()) <= 25, steps
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_op10_moves_texts_of_candidates_only(spark, monkeypatch, bits):
+    """Texts are not written, only those of candidates' documents go on, and no pair is checked again once it has failed."""
+    prepare(spark)
+    monkeypatch.setattr(jaccard, "MARKS", bits)
+    written, moved = [], []
+    monkeypatch.setattr(jaccard, "settle", lambda df, purpose, f=jaccard.settle: (written.append((purpose, out := f(df, purpose))), out)[1])
+    monkeypatch.setattr(jaccard, "marked", lambda docs, ends, f=jaccard.marked: (moved.append((ends, out := f(docs, ends))), out)[1])
+    made = near_copies()
+    linked = jaccard.link(spark.createDataFrame(made, "doc_id long, text string"))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in linked.collect()) == plain_components(made)
+    assert not [purpose for purpose, df in written if "text" in df.columns]
+    failed = set()
+    for purpose, df in written:
+        if purpose in ("star", "pairs"):
+            assert not failed & {(r.a, r.b) for r in df.collect()}
+        elif purpose == "links":
+            failed |= {(r.a, r.b) for r in df.filter("not similar").collect()}
+    assert failed and len(moved) >= 2
+    for ends, docs in moved:
+        asked, got = ({r.doc_id for r in x.select("doc_id").collect()} for x in (ends, docs))
+        assert asked <= got and (bits == 64 or asked == got)
+
+
 def test_op10_spread_labels(spark):
     labels = spark.createDataFrame([(k, 9, k // 2 * 2) for k in range(12)], "cls long, n long, component long")
     found = spark.createDataFrame([(4, 6), (2, 6), (6, 8)], "la long, lb long")
