@@ -35,6 +35,7 @@ NONZERO = 2
 WINDOW = 2
 SLICES = 64
 SAMPLE = 20_000
+CHUNK = 1 << 16  # bytes of text at once; a word's arrays are many times its size
 HIDDEN = 24
 THRESHOLD = 0.7
 FEATURES = 2 * SIZE + 2
@@ -66,10 +67,20 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def texts_in(column):
     data, offsets = tb.utf8(column)
-    for i, j in tb.chunks(offsets):
+    for i, j in tb.chunks(offsets, CHUNK):
         yield i, j, *entries(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
 
 
+def add_neighbours(total: np.ndarray, column, place: np.ndarray, sign: np.ndarray) -> None:
+    """Add to the entries' counters the index vectors met around each word of the texts."""
+    for _, _, entry, text in texts_in(column):
+        for gap in range(1, WINDOW + 1):
+            near = np.flatnonzero(text[gap:] == text[:-gap])
+            for here, there in ((entry[near], entry[near + gap]), (entry[near + gap], entry[near])):
+                for k in range(NONZERO):
+                    np.add.at(total, here * SIZE + place[there, k], sign[there, k])
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Word vectors from the neighbours of all words of all documents."""
 
@@ -77,16 +88,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         place, sign = index_vectors()
         total = np.zeros(WORDS * SIZE, np.int64)
         for batch in batches:
-            for _, _, entry, text in texts_in(batch.column(0)):
-                cells, signs = [], []
-                for gap in range(1, WINDOW + 1):
-                    near = np.flatnonzero(text[gap:] == text[:-gap])
-                    for here, there in ((entry[near], entry[near + gap]), (entry[near + gap], entry[near])):
-                        for k in range(NONZERO):
-                            cells.append(here * SIZE + place[there, k])
-                            signs.append(sign[there, k] > 0)
-                cells, up = np.concatenate(cells), np.concatenate(signs)
-                total += np.bincount(cells[up], minlength=len(total)) - np.bincount(cells[~up], minlength=len(total))
+            add_neighbours(total, batch.column(0), place, sign)
         yield pa.RecordBatch.from_arrays([
             pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()),
             pa.array([p.astype(np.int32).tobytes() for p in np.array_split(total, SLICES)], pa.binary()),
@@ -113,7 +115,8 @@ def pooled(column, vectors: np.ndarray) -> np.ndarray:
             starts = (np.cumsum(n) - n)[some]
             v = vectors[entry]
             mean = np.add.reduceat(v, starts, axis=0, dtype=np.float64) / n[some, None]
-            square = np.add.reduceat(v * v, starts, axis=0, dtype=np.float64) / n[some, None]
+            v *= v
+            square = np.add.reduceat(v, starts, axis=0, dtype=np.float64) / n[some, None]
             same = np.append((entry[1:] == entry[:-1]) & (text[1:] == text[:-1]), False)
             rows[some, :SIZE] = mean
             rows[some, SIZE:2 * SIZE] = np.sqrt(np.maximum(square - mean * mean, 0))

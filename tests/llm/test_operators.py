@@ -255,6 +255,33 @@ def test_op6_learns_and_is_calibrated(spark, none):
     assert {r.score for r in only.collect()} == {0.5}
 
 
+def test_op6_memory_follows_a_chunk_not_a_batch(monkeypatch):
+    """4 MB of texts in one batch: the arrays of a task stay below 32 MB, and the chunk changes no bit of the results."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    known = [f"{'aZé7'[k % 4]}{k:x}" for k in range(5000)]
+    texts = pa.array([None, "", *(" ".join(known[k] for k in rng.integers(0, 5000, 800)) for _ in range(1000)), "long " * 20000])
+    place, sign = quality.index_vectors()
+    vectors = rng.normal(size=(quality.WORDS, quality.SIZE)).astype(np.float32)
+    found = []
+    for chunk in (quality.CHUNK, 1 << 20):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        total, peaks = np.zeros(quality.WORDS * quality.SIZE, np.int64), []
+        tracemalloc.start()
+        quality.add_neighbours(total, texts, place, sign)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+        x = quality.pooled(texts, vectors)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found.append((peaks, total, x))
+    assert texts.nbytes > 4e6 and max(found[0][0]) < 32e6, found[0][0]
+    assert (found[0][1] == found[1][1]).all() and (found[0][2] == found[1][2]).all() and found[0][2].shape == (1003, quality.FEATURES)
+
+
 def test_op7_spans_and_disclosing_terms(spark, docs, none):
     cases = ["a@b", "x a@b.c.d.", "@a.b c@d@e.f", "1.2.3.4.5 999.1.1.1 1.1.1.1", "4111-1111 1111 1111 9", "4111111111111111", "++49 30 1234567 +1", "é j.d@x-y.org +49(30)1234567.9"]
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
